@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -71,8 +72,9 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Powers for a polynomial hash over the bytes of a word; longer words take the remainder.
-_BASE, _BLOCK = np.uint64(0x9E3779B97F4A7C15 | 1), 1 << 20
+#: Words above this many bytes are hashed one by one; the others in runs of about SEGMENT bytes.
+_LONG, SEGMENT = 1 << 14, 1 << 21
+_BASE = _STEP
 
 
 def _powers(n: int) -> np.ndarray:
@@ -81,41 +83,77 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = _powers(256)
+_POWERS = _powers(_LONG)
 
 
-def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of an Arrow string column, A-Z lower-cased, and the number of words of each row.
-
-    Works on the column's bytes as a whole, without a Python object per word. Null counts as empty.
-    """
+def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow string column; null counts as empty."""
     import pyarrow as pa
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    first, last = (int(offsets[0]), int(offsets[-1])) if len(column) else (0, 0)
-    if last == first:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(column), dtype=np.int64)
-    raw = _LOWER[np.frombuffer(column.buffers()[2], dtype=np.uint8)[first:last]]
-    offsets = offsets - first
-    gap = _SEPARATOR[raw]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, dtype=np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def find_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words of each row."""
+    solid = np.zeros(len(raw) + 1, dtype=bool)
+    solid[:-1] = ~_SEPARATOR[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True
-    start = ~gap
-    start[1:] &= gap[:-1] | edge[1:-1]
-    starts = np.flatnonzero(start)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(column), dtype=np.int64)
-    counts = np.diff(np.searchsorted(starts, offsets))
-    # The place of each byte in its word, to give it its power; separators weigh nothing.
-    word = np.cumsum(start, dtype=np.int32) - 1
-    place = np.arange(len(raw), dtype=np.int64) - starts[word]
-    low = place & 255
-    value = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[low]
-    if len(raw) and int(place.max()) > 255:
-        far = place > 255
-        value[far] = mix64(value[far] ^ mix64((place[far] >> 8).astype(np.uint64)))
-    value[gap] = 0
-    return mix64(np.add.reduceat(value, starts)), counts
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | edge[1:]
+    ends = np.zeros(len(raw) + 1, dtype=bool)
+    ends[1:] = solid[:-1] & (~solid[1:] | edge[1:])
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends), np.diff(np.searchsorted(starts, offsets))
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of words, with A-Z lower-cased or not. Memory is bounded by SEGMENT, whatever the texts' lengths."""
+    lengths = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in np.flatnonzero(lengths > _LONG):
+        word = raw[starts[k] : ends[k]]
+        out[k] = np.frombuffer(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), dtype=np.uint64)[0]
+    short = np.flatnonzero(lengths <= _LONG)
+    total = np.cumsum(lengths[short])
+    begin = 0
+    while begin < len(short):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + SEGMENT)))
+        run = short[begin:stop]
+        size = lengths[run]
+        first = np.zeros(len(run), dtype=np.int64)
+        np.cumsum(size[:-1], out=first[1:])
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+        letters = raw[np.repeat(starts[run], size) + place]
+        letters = _LOWER[letters] if lower else letters
+        value = (letters.astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+        out[run] = mix64(np.add.reduceat(value, first))
+        begin = stop
+    return out
+
+
+def word_hashes(column, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow string column, and the number of words of each row."""
+    raw, offsets = column_bytes(column)
+    starts, ends, counts = find_words(raw, offsets)
+    return hash_words(raw, starts, ends, lower), counts
+
+
+def slices(batch, column: str, most: int = 4 << 20):
+    """Parts of an Arrow batch with about ``most`` bytes of ``column`` each; a longer row is a part of its own."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)), dtype=np.int64)
+    begin = 0
+    while begin < len(size):
+        stop = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)))
+        yield batch.slice(begin, stop - begin)
+        begin = stop

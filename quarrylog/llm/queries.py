@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter
+from . import language, media, mixing, packing, sharding, url_filter
 from .common import documents
 
 
@@ -24,5 +24,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op5_url_filter": op5_url_filter}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_digest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_sharding": op3_sharding,
+    "op5_url_filter": op5_url_filter,
+    "op6_packing": op6_packing,
+    "op7_language": op7_language,
+    "op9_media": op9_media,
+}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.ORACLE}

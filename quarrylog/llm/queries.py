@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, packing, sharding, url_filter
+from . import jaccard, language, media, mixing, packing, sharding, url_filter
 from .common import documents
 
 
@@ -37,6 +37,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digest(documents(spark, sf_dir))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
@@ -44,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_language": op7_language,
     "op9_media": op9_media,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}

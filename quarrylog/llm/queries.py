@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, media, mixing, packing, sharding, url_filter
+from . import jaccard, language, media, mixing, neighbours, packing, sharding, token_counts, url_filter
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -33,6 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digest(documents(spark, sf_dir))
 
@@ -44,9 +52,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
+    "op8_neighbours": op8_neighbours,
     "op9_media": op9_media,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -64,7 +64,7 @@ def as_structured(found: DataFrame) -> DataFrame:
 
 
 def database_rows(existing: DataFrame, records: DataFrame, transform: Transform | None = None) -> DataFrame:
-    """Existing rows unchanged, then those of new keys, with ``_ord`` (0 existing, 1 new) and ``seq``.
+    """Existing rows unchanged, then those of new keys, with ``_ord`` (0 existing, 1 new) and their order: ``_row`` of existing, ``seq`` of new.
 
     Both sides must have the same columns; a missing category column is filled with ''.
     """
@@ -77,8 +77,14 @@ def database_rows(existing: DataFrame, records: DataFrame, transform: Transform
     known = old.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).distinct()
     on = F.col("Severity").eqNullSafe(F.col("_k0")) & F.col("_type").eqNullSafe(F.col("_k1")) & F.col("Description").eqNullSafe(F.col("_k2"))
     fresh = fresh.withColumnRenamed("Type/Source", "_type").join(known, on, "left_anti").withColumnRenamed("_type", "Type/Source")
-    fill = lambda df: df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in DETAIL_COLUMNS], *(["seq"] if "seq" in df.columns else [F.monotonically_increasing_id().alias("seq")]))
-    return fill(existing).withColumn("_ord", F.lit(0)).unionByName(fill(fresh).withColumn("_ord", F.lit(1)))
+    order = fresh.schema["seq"].dataType
+
+    def filled(df: DataFrame, old: bool) -> DataFrame:
+        columns = [F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in DETAIL_COLUMNS]
+        place = F.monotonically_increasing_id() if old else F.lit(None).cast("long")
+        return df.select(*columns, F.lit(0 if old else 1).alias("_ord"), place.alias("_row"), F.lit(None).cast(order).alias("seq") if old else F.col("seq"))
+
+    return filled(existing, True).unionByName(filled(fresh, False))
 
 
 def append_counts(combined: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, detail, parse, report
+from ..schemas import DETAIL_COLUMNS
 from ..sources import archive, tables
 
 log = logging.getLogger("quarrylog")
@@ -74,8 +75,8 @@ def run(spark: SparkSession, options: Options) -> Result:
     if options.database:
         combined = detail.database_rows(tables.read_database(spark, options.database), records, options.transform).persist(StorageLevel.MEMORY_AND_DISK)
         counts |= detail.append_counts(combined).first().asDict()
-        ordered = combined.where("_ord = 0").orderBy("seq").drop("_ord", "seq"), combined.where("_ord = 1").orderBy("seq").drop("_ord", "seq")
-        tables.write_table(ordered[0].union(ordered[1]), options.database, detail.DETAIL_COLUMNS)
+        ordered = combined.orderBy("_ord", "_row", "seq").select(*[f"`{c}`" for c in DETAIL_COLUMNS])
+        tables.write_table(ordered, options.database)
         result.files["database"] = options.database
         combined.unpersist()
     elif options.detail:

@@ -74,7 +74,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _halves(spark, sf_dir).withColumnRenamed("_ord", "ord").drop("seq")
+    return _halves(spark, sf_dir).withColumnRenamed("_ord", "ord").drop("seq", "_row")
 
 
 def text_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

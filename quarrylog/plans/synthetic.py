@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import quoted
 
+BLOCK_EVENTS = 4096
 #: Placeholders: name to an expression that both engines read.
 FIELDS = {"id": "event_id", "user": "user_id", "a": "event_id % 7", "b": "event_id % 253", "c": "1000 + event_id % 9000", "long": "20250930000000 + event_id"}
 PATHS = [
@@ -97,7 +98,10 @@ def event_messages(events: DataFrame) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_name, seq, line): four places an event, of which its shape fills one to three."""
+    """(source_name, block, seq, line): four places an event, of which its shape fills one to three.
+
+    An event's first line continues no other, so a block of events is a scope of its own.
+    """
     rows = event_messages(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id IS NOT NULL"))
     layout, shape = F.expr(LAYOUT_OF), F.expr(SHAPE_OF)
     header = (
@@ -109,7 +113,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.when(shape == 3, F.concat(F.lit("\torphan "), F.col("message"))).when(shape == 5, F.concat(F.lit("    at step "), F.col("event_id").cast("string"))).when(shape == 4, F.lit("   "))
     places = F.array(*(F.struct(F.lit(k).alias("k"), x.alias("line")) for k, x in enumerate((header, second, third))))
     out = rows.select("source_name", "event_id", F.explode(F.filter(places, lambda p: p["line"].isNotNull())).alias("p"))
-    return out.select("source_name", (F.col("event_id") * 4 + F.col("p.k")).alias("seq"), "p.line")
+    return out.select("source_name", F.floor(F.col("event_id") / BLOCK_EVENTS).alias("block"), (F.col("event_id") * 4 + F.col("p.k")).alias("seq"), "p.line")
 
 
 def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_records(event_lines(spark, sf_dir))
+    return parse.parse_records(event_lines(spark, sf_dir), ("source_name", "block"))
 
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:

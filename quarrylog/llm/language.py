@@ -25,7 +25,7 @@ from .common import column_bytes, crc32_of_id, slices
 
 N, LEAST, SHARE = 4, 1e-5, 0.5
 SLOTS, HASHES = 1 << 20, 3
-#: Documents with a smaller share of known n-grams than this are no language at all.
+#: Documents with a smaller share of known n-grams than this, beyond doubt, are no language at all.
 REJECT = 0.1
 
 _CLEAN = np.full(256, 32, dtype=np.uint8)
@@ -161,14 +161,14 @@ def learn(docs: DataFrame) -> Filters:
     return Filters(langs, codes.astype(np.uint32), masks)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """Adds lang_pred and score to ``docs`` (their other columns unchanged).
+def predict(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score, or what ``names`` calls them, to ``docs`` (their other columns unchanged).
 
     ``und`` with score 0 if text is null or has no letter, or nothing was learned. Ties go to
     the smaller language name. Only the text is looked at. Own columns win over clashing ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(*names)
     names_in, text_at = base.columns, [c.lower() for c in base.columns].index("text")
     base = base.toDF(*(f"_c{k}" for k in range(len(names_in))))  # whatever the columns are called
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -178,30 +178,38 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         import pyarrow.compute as pc
 
         model = shared.value
-        names = np.array(model.langs, dtype=object)
+        langs = np.array(model.langs, dtype=object)
         for batch in batches:
             for part in slices(batch, f"_c{text_at}"):
                 text = part[f"_c{text_at}"]
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\pL"), False))
-                if len(names):
+                if len(langs):
                     shares = model.shares(*grams(text))
                     best = shares.argmax(axis=1)
-                    lang, score = np.where(letters, names[best], "und"), np.where(letters, shares[np.arange(len(best)), best], 0.0)
+                    lang, score = np.where(letters, langs[best], "und"), np.where(letters, shares[np.arange(len(best)), best], 0.0)
                 else:
                     lang, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang.tolist(), type=pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    return base.mapInArrow(run, schema).toDF(*names_in, "lang_pred", "score")
+    return base.mapInArrow(run, schema).toDF(*names_in, *names)
+
+
+def learned(docs: DataFrame) -> Filters:
+    """Learns from the documents whose crc32 of doc_id mod 4 is not 2."""
+    return learn(docs.where(crc32_of_id(F.col("doc_id")) % 4 != 2).select("text", "lang"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learns from the documents whose crc32 of doc_id mod 4 is not 2, and adds lang_pred, score and held_out to all."""
-    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
-    filters = learn(docs.where(~held_out).select("text", "lang"))
-    return predict(docs, filters).withColumn("held_out", held_out)
+    """Adds lang_pred and score to all documents, and held_out: whether none was learned from them."""
+    return predict(docs, learned(docs)).withColumn("held_out", crc32_of_id(F.col("doc_id")) % 4 == 2)
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
-    """The documents that are in some learned language: und, and those that hardly share an n-gram with any, go."""
-    names = docs.columns
-    return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(*names)
+    """The documents that are in some learned language, all columns unchanged.
+
+    und goes, and so does what hardly shares an n-gram with any language: a share below REJECT
+    by more than one over the root of the text's length, so that a short text stays in doubt.
+    """
+    found = predict(docs, learned(docs), ("_lid_lang", "_lid_score"))
+    doubt = 1 / F.sqrt(F.length("text"))
+    return found.where((F.col("_lid_lang") != "und") & (F.col("_lid_score") + doubt >= REJECT)).drop("_lid_lang", "_lid_score")

@@ -158,4 +158,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     taken = taken.withColumn("_mix_r", F.row_number().over(alike) - 1)
     copies = F.floor(F.col("_mix_t") / F.col("_mix_n")) + (F.col("_mix_r") < F.col("_mix_t") % F.col("_mix_n")).cast("long")
     taken = taken.withColumn("_mix_c", copies).where("_mix_c > 0")
-    return taken.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_c")))).select(*names)
+    return taken.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_c")))).select(*[f"`{c}`" for c in names])

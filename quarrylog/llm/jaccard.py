@@ -6,35 +6,40 @@ n-gram among the first ``n - ceil(0.8 n) + 1`` of each in any fixed order of all
 The order is rare first, by a sketch of all shingle counts, so that common passages stay
 out of the prefixes. Candidates share a prefix n-gram and pass the length filter (sizes
 within 0.8 of each other) and the positional filter (what is left after the shared n-gram
-can still suffice); a suffix filter (numbers of elements on either side of probes into the
-sets) and at last the whole sets decide, once per pair.
+can still suffice). A suffix filter bounds what two sets share by the numbers of elements
+that they have in each of 128 ranges of the hash order; it needs 256 bytes a set and leaves
+few pairs but links. At last the whole sets decide, once per pair.
 
 What counts is the components of the links, so a long list of classes with a common prefix
 n-gram is not expanded into all its pairs. Short lists give all pairs, long ones at first
 those with the next and with the smallest member. Once these links have made components,
-a second round links neighbours of different components, and the last round expands the
-pairs that are still open, between members of different components, all of them: no link
-between components is lost. Lists are salted by their estimated length; a component that
-holds most of a list is not moved, only the others' rows go to each of its parts.
+a few more rounds link neighbours of different components, in another order for each list
+and round, and the last round gives the pairs that are still open, between members of
+different components, all of them: no link between components is lost. Lists are salted by
+their estimated length; a component that holds most of a list is not moved, only the
+others' rows go to each of its parts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, column_bytes, find_words, materialize, mix64, slices
-from .components import connected_components
+from .common import WORD, hash_words, column_bytes, find_words, materialize, mix64, slices
+from .components import merge_components
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Bits of the sketch of shingle counts, and of its parts as they travel.
-BITS, CHUNK = 20, 1 << 14
+BITS, CHUNK = 22, 1 << 16
 #: Lists up to this length give all pairs at once. Rows of a list that one task has, about.
 SHORT, PART = 4, 2000
 _PRESENT = 22
+#: Ranges of the suffix filter; rounds between the first and the last, and how far a row looks in them.
+RANGES, ROUNDS, REACH = 128, 3, 12
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,21 +82,27 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << BITS, dtype=np.int64)
+        counts = np.zeros(1 << BITS, dtype=np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, _ = shingle_sets(part["text"], seed)
                 whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-                counts += np.bincount((whole >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                slot, times = np.unique((whole >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+                counts[slot] += times.astype(np.int32)
                 prints = [fingerprints(s) for s in sets]
                 m = len(sets)
+                row = np.repeat(np.arange(m), [len(s) for s in sets])
+                ranges = np.bincount(row * RANGES + (whole >> np.uint64(57)).astype(np.int64), minlength=m * RANGES).reshape(m, RANGES)
+                ranges = [r.tobytes() for r in np.minimum(ranges, 65535).astype("<u2")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    [pa.array([0] * m, pa.int32()), part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.nulls(m, pa.int32()), pa.array(ranges, pa.binary())],
                     names=["kind", "doc_id", "n", "cid", "check", "chunk", "payload"],
                 )
         if counts.any():
             part_id = TaskContext.get().partitionId()
-            chunks = [counts[k : k + CHUNK].astype("<u4").tobytes() for k in range(0, len(counts), CHUNK)]
+            # A counter that is full in one partition is of a very common n-gram anyway.
+            small = np.minimum(counts, 255).astype(np.uint8)
+            chunks = [zlib.compress(small[k : k + CHUNK].tobytes(), 1) for k in range(0, len(counts), CHUNK)]
             m = len(chunks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([1] * m, pa.int32()), pa.array([part_id] * m, pa.int64()), *[pa.nulls(m, pa.int64())] * 3, pa.array(range(m), pa.int32()), pa.array(chunks, pa.binary())],
@@ -109,16 +120,17 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
         total = np.zeros(CHUNK, dtype=np.uint64)
         for x in table["payload"].to_pylist():
-            total += np.frombuffer(x, dtype="<u4" if len(x) == 4 * CHUNK else "<u8")
-        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "payload": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+            x = zlib.decompress(x)
+            total += np.frombuffer(x, dtype=np.uint8 if len(x) == CHUNK else "<u8")
+        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "payload": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary())})
 
     wide = max(1, int(parts.select(F.max("doc_id")).first()[0] or 0) + 1)
     groups = max(1, int(wide**0.5))
     half = parts.groupBy("chunk", (F.col("doc_id") % groups).alias("g")).applyInArrow(add, "chunk int, payload binary")
     rows = half.groupBy("chunk").applyInArrow(add, "chunk int, payload binary").collect()
-    out = np.zeros(1 << BITS, dtype=np.uint64)
+    out = np.zeros(1 << BITS, dtype=np.uint32)
     for r in rows:
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.payload), dtype="<u8")
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(np.frombuffer(zlib.decompress(bytes(r.payload)), dtype="<u8"), 0xFFFFFFFF)
     return out
 
 
@@ -174,8 +186,14 @@ def may_link(n1, p1, n2, p2):
 
 def _columns(batches: Iterator, names: tuple[str, ...]) -> list[np.ndarray]:
     """All rows of a partition, by column. Partitions are sized for that (see ``_partitions``)."""
-    parts = [[np.asarray(b[x]) for x in names] for b in batches]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64) for _ in names]
+    parts = [[column_bytes(b[x])[0].view("<u2").reshape(-1, RANGES) if x == "ranges" else np.asarray(b[x]) for x in names] for b in batches]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros((0, RANGES) if x == "ranges" else 0, dtype=np.int64) for x in names]
+
+
+def may_share(x: np.ndarray, n1: np.ndarray, y: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Suffix filter: whether sets with these numbers of elements by range can be links. A full counter bounds nothing."""
+    full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+    return full | ((DEN + NUM) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= NUM * (n1 + n2))
 
 
 def _pairs_batch(a: np.ndarray, b: np.ndarray):
@@ -241,41 +259,47 @@ def _first_round(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's parts and its largest component."""
+    """Rows (token, cid, n, pos, ranges, comp) of lists that hold more than one component, with the list's parts and its largest component."""
     labels = comps.select(F.col("node").alias("_v"), F.col("component").alias("_c"))
     rows = rows.join(labels, F.col("cid") == F.col("_v"), "left").withColumn("comp", F.coalesce("_c", "cid")).drop("_v", "_c")
     by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.sum("c").alias("total")).where("k > 1")
     parts = F.ceil(F.col("total") / PART).cast("int")
-    return rows.join(by.select(F.col("token").alias("_t"), "major", parts.alias("parts")), F.col("token") == F.col("_t")).drop("_t")
+    return rows.drop("major", "parts").join(by.select(F.col("token").alias("_t"), "major", parts.alias("parts")), F.col("token") == F.col("_t")).drop("_t")
 
 
-def _second_round(rows: DataFrame, partitions: int) -> DataFrame:
-    """Of each list, pairs of neighbours of different components, in two orders."""
+def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:
+    """Of each row of a list, the first row of another component among the next ones that may be a link; in an order of the list's and the round's own."""
 
     def run(batches: Iterator) -> Iterator:
-        token, salt, cid, n, pos, comp = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp"))
+        token, salt, cid, n, pos, comp, ranges = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp", "ranges"))
+        key = mix64(mix64(token.view(np.uint64) + np.uint64(step)) ^ cid.view(np.uint64))
+        order = np.lexsort((key, salt, token))
         left, right = [], []
-        for key in (n, mix64(cid.view(np.uint64)).view(np.int64)):
-            order = np.lexsort((key, salt, token))
-            a, b = order[:-1], order[1:]
-            ok = (token[a] == token[b]) & (salt[a] == salt[b]) & (comp[a] != comp[b])
-            ok &= may_link(n[a], pos[a], n[b], pos[b])
+        free = np.ones(len(order), dtype=bool)
+        for d in range(1, min(REACH, len(order) - 1) + 1):
+            at = np.flatnonzero(free[:-d])
+            a, b = order[at], order[at + d]
+            ok = (token[a] == token[b]) & (salt[a] == salt[b]) & (comp[a] != comp[b]) & may_link(n[a], pos[a], n[b], pos[b])
+            at, a, b = at[ok], a[ok], b[ok]
+            ok = may_share(ranges[a], n[a], ranges[b], n[b])
+            free[at[ok]] = False
             left.append(cid[a[ok]])
             right.append(cid[b[ok]])
-        yield _pairs_batch(np.concatenate(left), np.concatenate(right))
+        if left:
+            yield _pairs_batch(np.concatenate(left), np.concatenate(right))
 
-    salted = rows.withColumn("salt", F.pmod("cid", F.col("parts").cast("long")))
-    return salted.select("token", "salt", "cid", "n", "pos", "comp").repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(step)), F.col("parts").cast("long")))
+    return salted.select("token", "salt", "cid", "n", "pos", "comp", "ranges").repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
 
 
 def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
-    """All pairs of different components. Rows outside a list's largest component meet every part of the list."""
+    """All pairs of different components that may be links. Rows outside a list's largest component meet every part of the list."""
 
     def run(batches: Iterator) -> Iterator:
-        token, salt, cid, n, pos, comp, probe = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp", "probe"))
+        token, salt, cid, n, pos, comp, probe, ranges = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp", "probe", "ranges"))
         order = np.lexsort((probe, salt, token))
-        token, salt, cid, n, pos, comp, probe = (x[order] for x in (token, salt, cid, n, pos, comp, probe))
+        token, salt, cid, n, pos, comp, probe, ranges = (x[order] for x in (token, salt, cid, n, pos, comp, probe, ranges))
         if not len(token):
             return
         begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
@@ -283,16 +307,18 @@ def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
         left, right, held = [], [], 0
         for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
             m = a + int(np.searchsorted(probe[a:z], 1))  # the list's own rows come first
-            if m == z or m == a:
-                continue
             own = slice(a, m)
-            for lo in range(m, z, 256):
-                q = np.arange(lo, min(z, lo + 256))
+            for lo in range(m, z if m > a else m, 64):
+                q = np.arange(lo, min(z, lo + 64))
                 ok = may_link(n[q, None], pos[q, None], n[None, own], pos[None, own]) & (comp[q, None] != comp[None, own])
                 x, y = np.nonzero(ok)
-                left.append(cid[q[x]])
-                right.append(cid[a + y])
-                held += len(x)
+                x, y = q[x], a + y
+                for k in range(0, len(x), 1 << 15):
+                    i, j = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+                    ok = may_share(ranges[i], n[i], ranges[j], n[j])
+                    left.append(cid[i[ok]])
+                    right.append(cid[j[ok]])
+                    held += len(left[-1])
                 if held > 1 << 20:
                     yield _pairs_batch(np.concatenate(left), np.concatenate(right))
                     left, right, held = [], [], 0
@@ -301,12 +327,40 @@ def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
 
     own = rows.withColumn("salt", F.pmod("cid", F.col("parts").cast("long"))).withColumn("probe", F.lit(0))
     probes = rows.where("comp != major").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).withColumn("probe", F.lit(1))
-    columns = ["token", "salt", "cid", "n", "pos", "comp", "probe"]
+    columns = ["token", "salt", "cid", "n", "pos", "comp", "probe", "ranges"]
     return own.select(*columns).union(probes.select(*columns)).repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
 
 
-def _sets(docs: DataFrame, seed: int, present) -> DataFrame:
-    """(cid, elements) of classes whose cid's leading bits are present, once a partition."""
+def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct pairs that pass the suffix filter."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            a, b, n1, n2 = (np.asarray(batch[x]) for x in ("a", "b", "n1", "n2"))
+            x, y = (column_bytes(batch[x])[0].view("<u2").reshape(-1, RANGES) for x in ("x", "y"))
+            ok = may_share(x, n1, y, n2)
+            yield _pairs_batch(a[ok], b[ok]).select(["a", "b"])
+
+    side = lambda k, n, h: classes.select(F.col("cid").alias(f"_{k}"), F.col("n").alias(n), F.col("ranges").alias(h))
+    joined = pairs.select("a", "b").distinct().join(side("a", "n1", "x"), F.col("a") == F.col("_a")).join(side("b", "n2", "y"), F.col("b") == F.col("_b"))
+    return joined.select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _presence(cids: DataFrame) -> np.ndarray:
+    """Flags for the leading bits of all cids; the driver gets 2^22 numbers at most."""
+    slots = cids.select(F.shiftrightunsigned("cid", 64 - _PRESENT).cast("int").alias("s")).distinct().toPandas().s.to_numpy()
+    present = np.zeros(1 << _PRESENT, dtype=bool)
+    present[slots] = True
+    return present
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+
+
+def _sets(docs: DataFrame, seed: int, flags: np.ndarray) -> DataFrame:
+    """(cid, elements) of classes whose cid's leading bits are flagged."""
+    present = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -323,20 +377,13 @@ def _sets(docs: DataFrame, seed: int, present) -> DataFrame:
                 if cids:
                     yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "elements"])
 
-    return docs.select("text").mapInArrow(run, "cid long, elements binary")
-
-
-def _suffix_ok(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    """Suffix filter: elements of x and y on either side of a few probes bound what they share."""
-    cut = y[np.array([1, 2, 3], dtype=np.int64) * len(y) // 4]
-    a, b = np.diff(np.concatenate([[0], np.searchsorted(x, cut), [len(x)]])), np.diff(np.concatenate([[0], np.searchsorted(y, cut), [len(y)]]))
-    return int(np.minimum(a, b).sum()) >= need
+    return docs.select("text").mapInArrow(run, "cid long, elements binary").groupBy("cid").agg(F.first("elements").alias("elements"))
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether 100 times the intersection is at least 80 times the union, of sorted distinct arrays."""
     need = -(-NUM * (len(x) + len(y)) // (DEN + NUM))
-    if min(len(x), len(y)) < need or not _suffix_ok(x, y, need):
+    if min(len(x), len(y)) < need:
         return False
     if len(x) > len(y):
         x, y = y, x
@@ -345,15 +392,22 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
-def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, seed: int, name: str) -> DataFrame:
-    """The pairs (a, b) that are links. Only sets that pairs ask for travel."""
-    pairs = materialize(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
-    slots = ends.select(F.shiftrightunsigned("cid", 64 - _PRESENT).cast("int").alias("s")).distinct().toPandas().s.to_numpy()
-    present = np.zeros(1 << _PRESENT, dtype=bool)  # bounded: 2^22 flags
-    present[slots] = True
-    sets = _sets(docs, seed, spark.sparkContext.broadcast(present)).groupBy("cid").agg(F.first("elements").alias("elements"))
-    sets = materialize(sets, f"{name}-sets")
+def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that pairs ask for, and few others."""
+    present = sets.sparkSession.sparkContext.broadcast(_presence(_ends(pairs)))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            flags = present.value[(np.asarray(batch["cid"]).view(np.uint64) >> np.uint64(64 - _PRESENT)).astype(np.int64)]
+            yield batch.filter(pa.array(flags))
+
+    return sets.mapInArrow(run, "cid long, elements binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) that are links."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -383,8 +437,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     for seed in range(8):
         found = materialize(_signatures(docs, seed), "jaccard-signatures")
-        rows = found.where("kind = 0").select("doc_id", "n", "cid", "check")
-        classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("_n"), F.min("check").alias("_c"), F.max("check").alias("_d"))
+        rows = found.where("kind = 0").select("doc_id", "n", "cid", "check", F.col("payload").alias("ranges"))
+        classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("_n"), F.min("check").alias("_c"), F.max("check").alias("_d"), F.first("ranges").alias("ranges"))
         classes = materialize(classes, "jaccard-classes")
         if classes.where("n != _n OR _c != _d").isEmpty():
             break  # else two sets have one fingerprint: other hashes
@@ -392,17 +446,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     first = materialize(_first_round(_prefixes(docs, seed, sketch), _partitions(spark, total)), "jaccard-first")
     lists = first.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "n", "pos")
-    links = _verify(spark, docs, first.where("kind = 0"), seed, "jaccard-first")
-    for name, step in (("second", _second_round), ("last", _last_round)):
-        comps = connected_components(links)
-        open_ = materialize(_open_lists(lists, comps), f"jaccard-{name}-lists")
+    pairs = materialize(_sharing(first.where("kind = 0"), classes), "jaccard-sharing")
+    links = _verify(pairs, _sets(docs, seed, _presence(_ends(pairs))), "jaccard-first")
+    ranges = classes.select(F.col("cid").alias("_x"), "ranges")
+    lists = lists.join(ranges, F.col("cid") == F.col("_x")).drop("_x")
+    comps, sets = merge_components(None, links), None
+    for step in range(1, ROUNDS + 2):
+        open_ = materialize(_open_lists(lists, comps), f"jaccard-{step}-lists")
         count = open_.count()
         if not count:
             break
-        pairs = step(open_, _partitions(spark, count, 1 << 18))
-        links = links.union(_verify(spark, docs, pairs, seed, f"jaccard-{name}"))
-        lists = open_.select("token", "cid", "n", "pos")
-    comps = connected_components(links).select(F.col("node").alias("_v"), "component")
+        partitions = _partitions(spark, count, 1 << 17)
+        if sets is None:  # once, for all that may still link
+            sets = materialize(_sets(docs, seed, _presence(open_.select("cid"))), "jaccard-sets")
+        pairs = _next_round(open_, partitions, step) if step <= ROUNDS else _last_round(open_, partitions)
+        pairs = materialize(pairs.select("a", "b").distinct(), f"jaccard-{step}-pairs")
+        comps = merge_components(comps, _verify(pairs, _asked(sets, pairs), f"jaccard-{step}"))
+        lists = open_
+    comps = comps.select(F.col("node").alias("_v"), "component")
     labelled = classes.join(comps, F.col("cid") == F.col("_v"), "left").select("cid", "least", F.coalesce("component", "cid").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "_k")
     by_class = labelled.join(smallest, F.col("comp") == F.col("_k")).select(F.col("cid").alias("_x"), "component_id")
@@ -411,16 +472,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component left, that of the smallest doc_id (any one of rows alike in doc_id)."""
+    """The documents with one of each component left, that of the smallest doc_id; all columns unchanged.
+
+    Documents without words all stay. Repeated rows count as one; rows of one doc_id with
+    different texts stay or go together.
+    """
     from pyspark.sql import Window
 
     names = docs.columns
-    found = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"), F.col("n_shingles").alias("_n"))
-    # Rows without words are never copies of each other: each stays.
-    kept = found.groupBy("_keep").agg(F.max("_n").alias("_n"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")))
-    alike = Window.partitionBy("_keep").orderBy(F.length("text").desc_nulls_last(), "text")
-    return out.withColumn("_r", F.row_number().over(alike)).where("_r = 1 OR _n = 0").select(*names)
+    kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_jac_d")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_jac_d")))
+    alike = Window.partitionBy("_jac_d", F.xxhash64("text")).orderBy(F.length("text"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return out.withColumn("_jac_r", F.row_number().over(alike)).where((F.col("_jac_r") == 1) | wordless).select(*[f"`{c}`" for c in names])
 
 
 ORACLE = r"""

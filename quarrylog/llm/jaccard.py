@@ -13,8 +13,8 @@ few pairs but links. At last the whole sets decide, once per pair.
 What counts is the components of the links, so a long list of classes with a common prefix
 n-gram is not expanded into all its pairs. Short lists give all pairs, long ones at first
 those with the next and with the smallest member. Once these links have made components,
-a few more rounds link neighbours of different components, in another order for each list
-and round, and the last round gives the pairs that are still open, between members of
+another round links neighbours of different components, in another order for each list,
+and the last round gives the pairs that are still open, between members of
 different components, all of them: no link between components is lost. Lists are salted by
 their estimated length; a component that holds most of a list is not moved, only the
 others' rows go to each of its parts.
@@ -39,7 +39,7 @@ BITS, CHUNK = 22, 1 << 16
 SHORT, PART = 4, 2000
 _PRESENT = 22
 #: Ranges of the suffix filter; rounds between the first and the last, and how far a row looks in them.
-RANGES, ROUNDS, REACH = 128, 3, 12
+RANGES, ROUNDS, REACH = 128, 1, 16
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 
@@ -259,13 +259,13 @@ def _first_round(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, cid, n, pos, ranges, comp) of lists that hold more than one component, with the list's parts and its largest component."""
+    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's parts and its largest component."""
     labels = comps.select(F.col("node").alias("_v"), F.col("component").alias("_c"))
     rows = rows.join(labels, F.col("cid") == F.col("_v"), "left").withColumn("comp", F.coalesce("_c", "cid")).drop("_v", "_c")
     by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.sum("c").alias("total")).where("k > 1")
     parts = F.ceil(F.col("total") / PART).cast("int")
-    return rows.drop("major", "parts").join(by.select(F.col("token").alias("_t"), "major", parts.alias("parts")), F.col("token") == F.col("_t")).drop("_t")
+    return rows.join(by.select(F.col("token").alias("_t"), "major", parts.alias("parts")), F.col("token") == F.col("_t")).drop("_t")
 
 
 def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:
@@ -449,7 +449,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = materialize(_sharing(first.where("kind = 0"), classes), "jaccard-sharing")
     links = _verify(pairs, _sets(docs, seed, _presence(_ends(pairs))), "jaccard-first")
     ranges = classes.select(F.col("cid").alias("_x"), "ranges")
-    lists = lists.join(ranges, F.col("cid") == F.col("_x")).drop("_x")
     comps, sets = merge_components(None, links), None
     for step in range(1, ROUNDS + 2):
         open_ = materialize(_open_lists(lists, comps), f"jaccard-{step}-lists")
@@ -459,10 +458,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         partitions = _partitions(spark, count, 1 << 17)
         if sets is None:  # once, for all that may still link
             sets = materialize(_sets(docs, seed, _presence(open_.select("cid"))), "jaccard-sets")
-        pairs = _next_round(open_, partitions, step) if step <= ROUNDS else _last_round(open_, partitions)
+        full = open_.join(ranges, F.col("cid") == F.col("_x")).drop("_x")  # the wide rows travel once a round
+        pairs = _next_round(full, partitions, step) if step <= ROUNDS else _last_round(full, partitions)
         pairs = materialize(pairs.select("a", "b").distinct(), f"jaccard-{step}-pairs")
         comps = merge_components(comps, _verify(pairs, _asked(sets, pairs), f"jaccard-{step}"))
-        lists = open_
+        lists = open_.select("token", "cid", "n", "pos")
     comps = comps.select(F.col("node").alias("_v"), "component")
     labelled = classes.join(comps, F.col("cid") == F.col("_v"), "left").select("cid", "least", F.coalesce("component", "cid").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "_k")

@@ -1,10 +1,16 @@
 """Operator 2: scoring by a hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). Frequent words lie in
-classes of equal size by rank; all others share one more class, inside which a word has its
-smoothed unigram share. Both factors are maximum-entropy models: the log unigram plus one
-row of weights for each feature of the history, found by hashing: the word before, the two
-before together, and skips to the second and third before (for words, crossed with the class).
+P(word | history) = P(class | history) * P(word | class, history). The most frequent words lie
+in classes of equal size by rank. All others, seen or not, share one more class, which is a tree
+of classes in classes, and each step down is a softmax of its own. A word of the broadcast table
+is a leaf by itself. Beyond it, a word's hash names a leaf of a subtree that has one for every
+``LEAF`` such words of the counted vocabulary, so that its depth grows with the input; only the
+few words of such a leaf share its probability by their smoothed counts, which come by a join.
+
+All factors are maximum-entropy models: the log unigram plus one row of weights for each
+feature of the history, found by hashing the words' own hashes: the word before, the two before
+together, and skips to the second and third before (for words, crossed with the class; in the
+tree, the word before crossed with the node). The number of rows grows with the vocabulary.
 
 Counts, vocabulary and training cover all learning documents. Each partition makes AdaGrad
 updates over its own tokens; the partitions' weights meet in a two-level tree of averages,
@@ -27,9 +33,12 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, materialize, mix64, slices, word_hashes
 
 CLASSES, SIZE = 40, 40
-#: Words with counts at every scorer, at most; words that are told apart in a history.
-TABLE, CONTEXT = 1 << 18, 1 << 13
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+#: Words with counts at every scorer, at most; counts of others come by a join.
+TABLE = 1 << 18
+#: Words for each leaf beyond the table, on average; children of a node, at most.
+LEAF, WIDEST = 4, 9
+#: Rows of weights at least, and for each root of the number of words (the tree has four times as many).
+CLASS_ROWS, WORD_ROWS, ROWS = 1 << 14, 1 << 15, 32
 RATE, BATCH, PRIOR = 0.1, 4096, 0.1
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Rows of weights that travel together.
@@ -78,15 +87,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def tree_shape(leaves: int) -> tuple[int, int]:
+    """Children of a node and depth of a tree with so many leaves at least."""
+    depth = 0
+    while WIDEST**depth < leaves:
+        depth += 1
+    width = 2
+    while width**depth < leaves:
+        width += 1
+    return width, depth
+
+
 @dataclass
 class Vocabulary:
-    """The most frequent words (hash order), with counts, ranks and places in classes (-1: the rare class), and totals."""
+    """The most frequent words (hash order), with counts, ranks and places in classes (-1: the rare class), and totals; counts of bins below ``least`` are not here."""
 
     word: np.ndarray
     count: np.ndarray
     rank: np.ndarray
     total: int
     distinct: int
+    least: int = 1 << 30
 
     def __post_init__(self) -> None:
         m = CLASSES * SIZE
@@ -99,6 +120,50 @@ class Vocabulary:
         self.class_bias = np.log((by_class + PRIOR) / (by_class + PRIOR).sum()).astype(np.float32)
         # Empty places of a class have no mass worth naming.
         self.word_bias = np.where(by_rank > 0, np.log(np.maximum(by_rank, 1e-9)), -60.0).reshape(CLASSES, SIZE).astype(np.float32)
+        # The root's first child is the words beyond the table, the others have leaves for the rest of the table.
+        tail = max(0, len(self.word) - m)
+        self.width, self.depth = tree_shape(max(2, tail * WIDEST // (WIDEST - 1) + WIDEST))
+        first = self.width ** (self.depth - 1)
+        while (self.width - 1) * first < tail:
+            self.width += 1
+            first = self.width ** (self.depth - 1)
+        self.leaf = np.where(own, -1, first + (self.rank - m) * ((self.width - 1) * first) // max(1, tail))
+        mass = np.zeros(self.width**self.depth)
+        mass[self.leaf[~own]] = self.count[~own]
+        mass[0] = self.total - int(self.count.sum()) + PRIOR * (self.distinct - len(self.word) + 1)
+        steps = []
+        for _ in range(self.depth):
+            mass = mass.reshape(-1, self.width)
+            steps.append(np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -60.0).astype(np.float32))
+            mass = mass.sum(axis=1)
+        # Beyond the table hashes are even, and so are the biases.
+        self.far_width, self.far_depth = tree_shape(-(-(self.distinct - len(self.word)) // LEAF))
+        self.far_leaves = self.far_width**self.far_depth
+        wide = max(self.width, self.far_width)
+        near = np.concatenate(steps[::-1])  # nodes by depth, then from left to right
+        self.step_bias = np.full((len(near) + 1, wide), -60.0, dtype=np.float32)
+        self.step_bias[:-1, : self.width] = near
+        self.step_bias[-1, : self.far_width] = 0
+        grown = ROWS * int(self.distinct**0.5)
+        self.rows = tuple(-(-max(least, times * grown) // CHUNK) * CHUNK for least, times in ((CLASS_ROWS, 1), (WORD_ROWS, 1), (WORD_ROWS, 4)))
+        self.widths = CLASSES + 1, SIZE, wide
+
+    def far_leaf(self, tokens: np.ndarray) -> np.ndarray:
+        return ((tokens >> np.uint64(1)) % np.uint64(self.far_leaves)).astype(np.int64)
+
+    def steps(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The steps down to words of the rare class, of which ``at`` are the places here: which token, node, child taken."""
+        near, far = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        out = [(far, np.zeros(len(far), dtype=np.int64), np.zeros(len(far), dtype=np.int64))]
+        for who, leaf, width, depth, first in ((near, self.leaf[at[near]], self.width, self.depth, 0), (far, self.far_leaf(tokens[far]), self.far_width, self.far_depth, len(self.step_bias) - 1)):
+            for k in range(depth):
+                prefix = leaf // width ** (depth - k - 1)
+                out.append((who, first + prefix // width, prefix % width))
+                first += width**k
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def bias(self, node: np.ndarray) -> np.ndarray:
+        return self.step_bias[np.minimum(node, len(self.step_bias) - 1)]
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Index of each token, -1 if it isn't here."""
@@ -109,10 +174,14 @@ class Vocabulary:
         return np.where(self.word[at] == tokens, at, -1)
 
 
+def count_bin():
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
 def vocabulary(counts: DataFrame, most: int = TABLE) -> Vocabulary:
     """The words above a count that not more than ``most`` words reach, found from a histogram of counts (a few hundred bins)."""
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    step = F.floor(F.log2("c") * 16).cast("int")
+    step = count_bin()
     bins = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     held, least = 0, 1 << 30
     for r in sorted(bins, key=lambda r: -r.b):
@@ -127,28 +196,37 @@ def vocabulary(counts: DataFrame, most: int = TABLE) -> Vocabulary:
     rank[np.lexsort((word, -count))] = np.arange(len(word))
     if (end := np.flatnonzero(word == END)).size and rank[end[0]] >= CLASSES * SIZE:  # the end is always among the classes
         rank[rank == CLASSES * SIZE - 1], rank[end[0]] = rank[end[0]], CLASSES * SIZE - 1
-    return Vocabulary(word, count, rank, int(total or 0), int(distinct))
+    return Vocabulary(word, count, rank, int(total or 0), int(distinct), least)
+
+
+_ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in range(9)]
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-_ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in range(8)]
+def _row(x: np.ndarray, k: int, rows: int) -> np.ndarray:
+    return ((mix64(x * _ODD[k]) >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int32)
 
 
-def features(context: np.ndarray, n: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of weights for each token: (4, tokens) for its class, (3, tokens) for the word inside its class."""
+def features(context: np.ndarray, n: np.ndarray, classes: np.ndarray, rows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of weights for each token: (4, tokens) for its class, (3, tokens) for the word inside its class; and the word before."""
     start = np.repeat(np.cumsum(n) - n, n)
     place = np.arange(len(context)) - start
     back = []
     for j in (1, 2, 3):
-        shifted = np.full(len(context), CONTEXT + 1, dtype=np.uint64)  # before the text
-        shifted[j:] = np.where(place[j:] >= j, context[:-j] if j <= len(context) else context[:0], CONTEXT + 1)
+        shifted = np.zeros(len(context), dtype=np.uint64)  # before the text
+        shifted[j:] = np.where(place[j:] >= j, context[:-j] if j <= len(context) else context[:0], np.uint64(0))
         back.append(shifted)
     one, two, three = back
-    pair = np.where((one < 1024) & (two < 1024), one * np.uint64(1 << 20) + two, np.uint64(1 << 50))
-    row = lambda x, k, rows: (mix64(x * _ODD[k]) & np.uint64(rows - 1)).astype(np.int32)
-    by_class = np.stack([row(one, 0, CLASS_ROWS), row(pair, 1, CLASS_ROWS), row(two, 2, CLASS_ROWS), row(three, 3, CLASS_ROWS)])
-    cross = classes.astype(np.uint64) << np.uint64(24)
-    by_word = np.stack([row(one + cross, 4, WORD_ROWS), row(two + cross, 5, WORD_ROWS), row(three + cross, 6, WORD_ROWS)])
-    return by_class, by_word
+    pair = mix64(one) + two
+    by_class = np.stack([_row(one, 0, rows[0]), _row(pair, 1, rows[0]), _row(two, 2, rows[0]), _row(three, 3, rows[0])])
+    cross = classes.astype(np.uint64) * _STEP
+    by_word = np.stack([_row(one + cross, 4, rows[1]), _row(two + cross, 5, rows[1]), _row(three + cross, 6, rows[1])])
+    return by_class, by_word, one
+
+
+def tree_features(before: np.ndarray, node: np.ndarray, rows: int) -> np.ndarray:
+    """The row of weights for each step in the tree, (1, steps), from the word before and the node."""
+    return _row(before + node.astype(np.uint64) * _STEP, 7, rows)[None]
 
 
 class Factor:
@@ -169,7 +247,7 @@ class Factor:
 
     def update(self, bias: np.ndarray, rows: np.ndarray, answer: np.ndarray) -> None:
         if self.squares is None:
-            self.squares = np.zeros_like(self.weights)
+            self.squares = np.ones_like(self.weights)  # the first step of a row is as small as its gradient
         g = np.exp(self.log_softmax(bias, rows))
         g[np.arange(len(answer)), answer] -= 1
         flat = rows.ravel()
@@ -185,31 +263,36 @@ class Factor:
 
 
 def _tokens(v: Vocabulary, tokens: np.ndarray, n: np.ndarray):
-    """Index in the vocabulary, class, place in the class and feature rows of each token."""
+    """Index in the vocabulary, class, place in the class and feature rows of each token, and the word before it."""
     at = v.find(tokens)
     known = at >= 0
     place = np.where(known, v.place[at] if len(v.place) else -1, -1)
     classes = np.where(place >= 0, place // SIZE, CLASSES)
-    rank = np.where(known, v.rank[at] if len(v.rank) else CONTEXT, CONTEXT)
-    context = np.minimum(rank, CONTEXT).astype(np.uint64)
-    return at, classes, place % SIZE, *features(context, n, classes)
+    return at, classes, place % SIZE, *features(tokens, n, classes, v.rows)
+
 
+def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Weights of the factors after one pass over all texts.
 
-def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both factors after one pass over all texts."""
+    Neighbouring partitions train as one where all their weights would outweigh half the texts.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
+    widths, sizes = v.widths, v.rows
+    model = sum(r * (4 + 2 * w) for r, w in zip(sizes, widths, strict=True))
+    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, v.total * 6 // (2 * model)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         v = shared.value
-        classes_, words_ = Factor(CLASS_ROWS, CLASSES + 1), Factor(WORD_ROWS, SIZE)
+        classes_, words_, steps_ = factors = [Factor(r, w) for r, w in zip(v.rows, v.widths, strict=True)]
         used = False
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                _, c, p, by_class, by_word = _tokens(v, *token_stream(part["text"]))
+                tokens, n = token_stream(part["text"])
+                at, c, p, by_class, by_word, before = _tokens(v, tokens, n)
                 used = True
                 for k in range(0, len(c), BATCH):
                     s = slice(k, k + BATCH)
@@ -217,9 +300,13 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                     own = k + np.flatnonzero(c[s] < CLASSES)
                     if len(own):
                         words_.update(v.word_bias[c[own]], by_word[:, own], p[own])
+                    rare = k + np.flatnonzero(c[s] == CLASSES)
+                    if len(rare):
+                        who, node, child = v.steps(tokens[rare], at[rare])
+                        steps_.update(v.bias(node), tree_features(before[rare[who]], node, v.rows[2]), child)
         if used:
             me = TaskContext.get().partitionId()
-            rows = [(me, which, k // CHUNK, f.uses[k : k + CHUNK].astype("<f4").tobytes() + f.weights[k : k + CHUNK].astype("<f2").tobytes()) for which, f in enumerate((classes_, words_)) for k in range(0, len(f.uses), CHUNK) if f.uses[k : k + CHUNK].any()]
+            rows = [(me, which, k // CHUNK, f.uses[k : k + CHUNK].astype("<f4").tobytes() + f.weights[k : k + CHUNK].astype("<f2").tobytes()) for which, f in enumerate(factors) for k in range(0, len(f.uses), CHUNK) if f.uses[k : k + CHUNK].any()]
             a, b, c, d = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], names=["part", "factor", "chunk", "payload"])
 
@@ -227,7 +314,7 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
 
         factor, chunk = table["factor"][0].as_py(), table["chunk"][0].as_py()
-        width = SIZE if factor else CLASSES + 1
+        width = widths[factor]
         uses, total = np.zeros(CHUNK), np.zeros((CHUNK, width))
         for x in table["payload"].to_pylist():
             n = np.frombuffer(x, dtype="<f4", count=CHUNK).astype(np.float64)
@@ -243,13 +330,13 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     groups = max(1, int(wide**0.5))
     schema = "factor int, chunk int, payload binary"
     half = local.groupBy("factor", "chunk", (F.col("part") % groups).alias("g")).applyInArrow(average, schema)
-    out = np.zeros((CLASS_ROWS, CLASSES + 1), dtype=np.float32), np.zeros((WORD_ROWS, SIZE), dtype=np.float32)
+    out = tuple(np.zeros((r, w), dtype=np.float32) for r, w in zip(sizes, widths, strict=True))
     for r in half.groupBy("factor", "chunk").applyInArrow(average, schema).collect():  # bounded: the model's size
         out[r.factor][r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.payload), dtype="<f4", offset=4 * CHUNK).reshape(CHUNK, -1)
     return out
 
 
-def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, ...]) -> DataFrame:
     """Kind 0: a row a document with what is known at once; kind 1: (document, word, times) of words outside the table."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((v, weights))
@@ -258,15 +345,14 @@ def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, np.nd
         import pyarrow as pa
         from pyspark import TaskContext
 
-        v, (class_weights, word_weights) = shared.value
-        classes_, words_ = Factor(CLASS_ROWS, CLASSES + 1, class_weights), Factor(WORD_ROWS, SIZE, word_weights)
+        v, weights = shared.value
+        classes_, words_, steps_ = (Factor(*x.shape, x) for x in weights)
         row = TaskContext.get().partitionId() << 36
         unigram = np.log10((v.count + PRIOR) / (v.total + PRIOR * (v.distinct + 1)))
-        rare = np.log10((v.count + PRIOR) / (v.rare_total + PRIOR * (v.rare_distinct + 1)))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 tokens, n = token_stream(part["text"])
-                at, c, p, by_class, by_word = _tokens(v, tokens, n)
+                at, c, p, by_class, by_word, before = _tokens(v, tokens, n)
                 known = at >= 0
                 score, base = np.zeros(len(c)), np.zeros(len(c))
                 if len(v.count):
@@ -278,10 +364,12 @@ def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, np.nd
                     own = k + np.flatnonzero(c[s] < CLASSES)
                     if len(own):
                         score[own] += words_.log_softmax(v.word_bias[c[own]], by_word[:, own])[np.arange(len(own)), p[own]]
+                    rare = k + np.flatnonzero(c[s] == CLASSES)
+                    if len(rare):
+                        who, node, child = v.steps(tokens[rare], at[rare])
+                        z = steps_.log_softmax(v.bias(node), tree_features(before[rare[who]], node, v.rows[2]))
+                        score[rare] += np.bincount(who, weights=z[np.arange(len(who)), child], minlength=len(rare))
                 score /= np.log(10)
-                inside = known & (c == CLASSES)
-                if len(v.count):
-                    score[inside] += rare[at[inside]]
                 first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, score)]
                 m = len(n)
@@ -316,13 +404,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     found = materialize(_score_pass(docs, v, weights), "lm-scores")
     rows = found.where("kind = 0").drop("kind")
     rare = found.where("kind = 1").select("r", F.col("doc_id").alias("w"), F.col("n").alias("times"))
-    rare = rare.join(counts.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"), "left").select("r", "times", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = rare.join(counts.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"), "left").select("r", "times", F.coalesce("c", F.lit(0)).alias("c"), (F.shiftrightunsigned("w", 1) % v.far_leaves).alias("leaf"))
+    leaves = counts.where(count_bin() < v.least).groupBy((F.shiftrightunsigned("w", 1) % v.far_leaves).alias("_leaf")).agg(F.sum("c").alias("leaf_c"), F.count(F.lit(1)).alias("leaf_n"))
+    rare = rare.join(leaves, F.col("leaf") == F.col("_leaf"), "left")
+    share = F.log10(F.col("c") + PRIOR) - F.log10(F.coalesce("leaf_c", F.lit(0)) + PRIOR * (F.coalesce("leaf_n", F.lit(0)) + 1))
     top = F.log10(F.col("c") + PRIOR)
-    below = float(np.log10(v.total + PRIOR * (v.distinct + 1))), float(np.log10(v.rare_total + PRIOR * (v.rare_distinct + 1)))
+    below = float(np.log10(v.total + PRIOR * (v.distinct + 1)))
     more = rare.groupBy("r").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * (top - below[0])).alias("more_base"),
-        F.sum(F.col("times") * (top - below[1])).alias("more_score"),
+        F.sum(F.col("times") * (top - below)).alias("more_base"),
+        F.sum(F.col("times") * share).alias("more_score"),
     )
     out = rows.join(more.withColumnRenamed("r", "_r"), F.col("r") == F.col("_r"), "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))

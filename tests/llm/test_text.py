@@ -277,3 +277,37 @@ def test_tensors(make):
 
     t = media.as_tensors(pa.array([r.tensor for r in rows], pa.list_(pa.float32())))
     assert t.type.shape == [media.PATCH, media.MELS] and len(t) == len(rows)
+
+
+def test_lm_tree_grows_with_the_vocabulary():
+    """A word of the table is a leaf by itself, leaves beyond it hold few words however many there are, and all leaves sum to 1."""
+    for kinds, kept in ((3000, 3000), (3000, 2990), (3000, 2000), (400_000, 50_000)):
+        count = np.maximum(1, 400_000 // np.arange(1, kinds + 1))
+        every = langmodel.mix64(np.arange(kinds, dtype=np.uint64))
+        order = np.argsort(every[:kept])
+        v = langmodel.Vocabulary(every[:kept][order], count[:kept][order], order, int(count.sum()), kinds)
+        far = every[kept:]
+        if len(far):
+            assert np.bincount(v.far_leaf(far)).max() < 10 * langmodel.LEAF
+        g = langmodel.Factor(v.rows[2], v.widths[2])
+        g.weights[:] = np.random.default_rng(1).standard_normal(g.weights.shape)
+        near = v.word[v.place < 0]
+        leaves = np.arange(v.far_leaves, dtype=np.uint64) << np.uint64(1)  # one hash for each
+        tokens = np.concatenate([near, leaves])
+        at = np.concatenate([v.find(near), np.full(len(leaves), -1)])
+        who, node, child = v.steps(tokens, at)
+        z = g.log_softmax(v.bias(node), langmodel.tree_features(np.full(len(node), 7, dtype=np.uint64), node, v.rows[2]))
+        path = np.bincount(who, weights=z[np.arange(len(who)), child])
+        assert len(path) == len(tokens) and np.exp(path).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_history_tells_rare_words_apart():
+    """Words and pairs in a history have rows of their own, also those outside the table."""
+    import pyarrow as pa
+
+    count = np.arange(3000, 0, -1)
+    v = langmodel.Vocabulary(np.arange(3000, dtype=np.uint64), count, np.arange(3000), int(count.sum()), 3000)
+    tokens, n = langmodel.token_stream(pa.array(["zig alpha x", "zag alpha x", "zog beta x"]))
+    by_class, by_word = langmodel._tokens(v, tokens, n)[3:5]
+    after = np.array([1, 5, 9])
+    assert len(set(by_class[0, after])) == len(set(by_class[1, after + 1])) == len(set(by_word[0, after])) == 3

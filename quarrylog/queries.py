@@ -67,10 +67,11 @@ def categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the log's first half, and all records as the new side."""
     rows = _deduped(spark, sf_dir).drop("n_rows")
-    event = F.floor(F.col("seq") / 4)
-    old = detail.detail_rows(rows.where(event % 2 == 0)).drop("seq")
-    return detail.database_rows(old, rows.where(event % 3 != 0))
+    half = rows.agg((F.max("seq") / 2).alias("_half"))
+    old = detail.detail_rows(rows.join(F.broadcast(half), F.col("seq") <= F.col("_half")).drop("_half")).drop("seq")
+    return detail.database_rows(old, rows)
 
 
 def database_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -144,7 +145,7 @@ class TokenTree:
 
 
 _DIGITS = re.compile(r"[0-9]{6,}")
-_LEFT, _RIGHT = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LEFT, _RIGHT = string.ascii_letters + string.digits + "._%+-", re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
 def scrub_edits(text: str) -> list[Edit]:
@@ -152,9 +153,13 @@ def scrub_edits(text: str) -> list[Edit]:
     found = [(m.start(), m.end(), "<NUMBER>") for m in _DIGITS.finditer(text)]
     at = text.find("@")
     while at >= 0:
-        left, right = _LEFT.search(text, max(0, at - 64), at), _RIGHT.match(text, at + 1, at + 256)
-        if left and right:
-            found.append((left.start(), right.end(), "<MAIL>"))
+        start, width = at, 64
+        while start and text[start - 1] in _LEFT:  # windows double, so long runs take linear time
+            low = max(0, start - width)
+            start, width = low + len(text[low:start].rstrip(_LEFT)), 2 * width
+        right = _RIGHT.match(text, at + 1)
+        if start < at and right:
+            found.append((start, right.end(), "<MAIL>"))
         at = text.find("@", at + 1)
     out: list[Edit] = []
     for a, b, new in sorted(found, key=lambda e: (e[0], -e[1])):

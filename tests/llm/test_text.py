@@ -311,3 +311,9 @@ def test_lm_history_tells_rare_words_apart():
     by_class, by_word = langmodel._tokens(v, tokens, n)[3:5]
     after = np.array([1, 5, 9])
     assert len(set(by_class[0, after])) == len(set(by_class[1, after + 1])) == len(set(by_word[0, after])) == 3
+
+
+def test_scrub_edits_replace_whole_addresses():
+    for left, right in ((1, 1), (63, 10), (64, 254), (65, 255), (5000, 3000)):
+        text = f"to <{'a' * left}@{'b.' * right}de>, or"
+        assert token_counts.scrub_edits(text) == [(4, len(text) - 5, "<MAIL>")]

@@ -128,9 +128,9 @@ summary AS (SELECT g.*, n_files, top_files FROM grouped g JOIN tops t ON g.categ
 STATS_CTE = f"""{REPORT_CTE}, stats AS (
   SELECT 'category' AS kind, clean_category AS value, sum(cnt) AS n, min(seq) AS first_seq FROM rep GROUP BY 2 UNION ALL SELECT 'severity', upper(severity), sum(cnt), min(seq) FROM rep GROUP BY 2
   UNION ALL SELECT 'file_group', file_group, sum(cnt), min(seq) FROM rep GROUP BY 2 UNION ALL SELECT 'short_type', clean_short_type, sum(cnt), min(seq) FROM rep GROUP BY 2)"""
-#: Old and new halves of the records, by their header's place.
+#: The table of the log's first half, and all records as the new side.
 DATABASE_CTE = f"""{DEDUP_CTE}, halves AS (SELECT * FROM deduped),
-oldc AS ({_detail('(SELECT * FROM halves WHERE seq // 4 % 2 = 0)')}), newc AS ({_detail('(SELECT * FROM halves WHERE seq // 4 % 3 <> 0)')}),
+oldc AS ({_detail('(SELECT * FROM halves WHERE seq <= (SELECT max(seq) / 2 FROM halves))')}), newc AS ({_detail('halves')}),
 oldr AS (SELECT *, row_number() OVER (PARTITION BY "Severity", "Type/Source", "Description" ORDER BY seq) AS rn FROM oldc), old AS (SELECT * EXCLUDE (rn) FROM oldr WHERE rn = 1),
 newr AS (SELECT *, row_number() OVER (PARTITION BY "Severity", "Type/Source", "Description" ORDER BY seq) AS rn FROM newc), fresh AS (SELECT * EXCLUDE (rn) FROM newr WHERE rn = 1 AND ("Severity", "Type/Source", "Description") NOT IN (SELECT ("Severity", "Type/Source", "Description") FROM old)),
 combined AS (SELECT *, 0 AS ord FROM old UNION ALL SELECT *, 1 AS ord FROM fresh)"""

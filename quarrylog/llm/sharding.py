@@ -5,10 +5,11 @@ their text. The smallest capacity for which a greedy walk fills no more than the
 shards is found by binary search, and the cuts fall where that walk puts them.
 
 The search never sees all groups. It starts from a histogram of the hash range (2^12 bins)
-and knows the walk's position after each shard within bounds; where the bounds do not
-settle whether a capacity is feasible, the bins that a cut may fall into are divided
-further (by 2^8 a round, reading only their groups) until the answer is exact. What the
-driver holds is bounded: the bins, and for each cut the few bins that it may lie in.
+and knows the walk's position after each shard within bounds. Where the bounds do not settle
+whether a capacity is feasible, bins are divided further until the answer is exact: first
+those so heavy that a large group may hide in them, then those that the first cuts may fall
+into (whether a large group still fits into a shard must be known before anything after it).
+A round gives the driver ``ROUND`` rows at most, and divides 2^8 times at most.
 A group larger than an even share of what is left gets a shard of its own first (there are
 fewer of these than shards), since no cut could make its shard smaller.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 FIRST_BITS, MORE_BITS = 12, 8
+#: Rows of a round's histogram at most; a bin is heavy above 1 / (HEAVY * shards) of all bytes.
+ROUND, HEAVY = 1 << 16, 32
 
 
 def text_size(text: Column) -> Column:
@@ -31,7 +34,7 @@ def text_size(text: Column) -> Column:
 
 
 class _Bins:
-    """Consecutive ranges of the hash order: bounds [start, end), bytes, and whether a range is one group (or empty inside)."""
+    """Ranges of the hash order that hold all groups: (first hash, bits, bytes, whether it is one group), with no gap that holds any."""
 
     def __init__(self, rows: list[tuple[int, int, int, bool]]):
         self.rows = sorted(rows)
@@ -61,6 +64,11 @@ class _Bins:
         k = bisect.bisect_right(self.ends, position)
         return self.ends[k - 1] if k else 0
 
+    def inside(self, low: int, high: int) -> list[int]:
+        """Unsettled ranges that a position between low and high may lie in."""
+        first, last = bisect.bisect_left(self.ends, low), bisect.bisect_right(self.before, high)
+        return [k for k in range(first, min(last, len(self.rows))) if not self.rows[k][3]]
+
 
 def _search(bins: _Bins, shards: int) -> tuple[int, int]:
     """(largest capacity known infeasible, smallest known feasible)."""
@@ -86,8 +94,42 @@ def _search(bins: _Bins, shards: int) -> tuple[int, int]:
 def _histogram(groups: DataFrame, key: Column, bits: int) -> list[tuple[int, int, int, bool]]:
     """Ranges of 2^(64 - bits) hashes with bytes; one that holds a single group is settled."""
     width = 64 - bits
-    rows = groups.groupBy(F.shiftright(key, width).alias("b")).agg(F.sum("bytes").alias("s"), F.min(key).alias("a"), F.max(key).alias("z")).collect()
-    return [(r.a, r.z + 1, r.s, r.a == r.z) for r in rows]
+    rows = groups.groupBy(F.shiftright(key, width).alias("b")).agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    return [(r.b << width, bits, r.s, r.n == 1) for r in rows]
+
+
+def _within(key: Column, bins: _Bins, chosen: list[int]) -> Column:
+    """Whether a hash lies in one of the chosen ranges. Neighbours count as one, and the tree of conditions is balanced."""
+    runs: list[list[int]] = []
+    for k in chosen:
+        first, bits, *_ = bins.rows[k]
+        last = first + (1 << (64 - bits)) - 1
+        if runs and runs[-1][1] + 1 == first:
+            runs[-1][1] = last
+        else:
+            runs.append([first, last])
+    terms = [key.between(a, z) for a, z in runs]
+    while len(terms) > 1:
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2])] + (terms[-1:] if len(terms) % 2 else [])  # noqa: B905
+    return terms[0]
+
+
+def _unsure(bins: _Bins, shards: int, infeasible: int, feasible: int) -> list[int]:
+    """The ranges to divide next; none if the cuts are exact."""
+    narrow, wide = bins.walk(infeasible + 1, shards), bins.walk(feasible, shards)
+    spans = [(a, b) for (a, _), (_, b) in zip(narrow, wide, strict=True)]
+    if feasible == infeasible + 1 and all(a == b for a, b in spans):
+        return []
+    heavy = [k for k, r in enumerate(bins.rows) if not r[3] and r[2] * HEAVY * shards > bins.total]
+    if heavy:
+        return heavy  # fewer than HEAVY * shards
+    out: set[int] = set()
+    for a, b in spans:
+        more = bins.inside(a, b)
+        if out and len(out) + len(more) > ROUND >> 3:
+            break
+        out.update(more[: ROUND >> 3])
+    return sorted(out)
 
 
 def cut_points(groups: DataFrame, shards: int) -> list[int]:
@@ -95,19 +137,19 @@ def cut_points(groups: DataFrame, shards: int) -> list[int]:
     if shards <= 1:
         return []
     key = F.col("h")
-    bins, bits = _Bins(_histogram(groups, key, FIRST_BITS)), FIRST_BITS
+    bins = _Bins(_histogram(groups, key, FIRST_BITS))
     while True:
         infeasible, feasible = _search(bins, shards)
-        spans = list(zip((x for x, _ in bins.walk(infeasible + 1, shards)), (x for _, x in bins.walk(feasible, shards)), strict=True))
-        unsure = [r for k, r in enumerate(bins.rows) if not r[3] and any(bins.before[k] <= b and a <= bins.ends[k] for a, b in spans)]
-        if feasible - infeasible == 1 and not any(_inside(bins, r, feasible, shards) for r in unsure) or bits >= 64 or not unsure:
+        chosen = _unsure(bins, shards, infeasible, feasible)
+        if not chosen:
             break
-        bits = min(64, bits + MORE_BITS)
-        wanted = F.lit(False)
-        for a, z in _joined(unsure):
-            wanted |= (key >= a) & (key < z)
-        gone = {r[0] for r in unsure}
-        bins = _Bins([r for r in bins.rows if r[0] not in gone] + _histogram(groups.where(wanted), key, bits))
+        # All ranges of a width are divided together, the widest first.
+        bits = min(bins.rows[k][1] for k in chosen)
+        chosen = [k for k in chosen if bins.rows[k][1] == bits]
+        more = max(1, min(MORE_BITS, (ROUND // len(chosen)).bit_length() - 1, 64 - bits))
+        parts = _histogram(groups.where(_within(key, bins, chosen)), key, bits + more)
+        gone = set(chosen)
+        bins = _Bins([r for k, r in enumerate(bins.rows) if k not in gone] + parts)
     out = []
     for low, _ in bins.walk(feasible, shards)[:-1]:
         k = bisect.bisect_left(bins.ends, low)
@@ -116,22 +158,6 @@ def cut_points(groups: DataFrame, shards: int) -> list[int]:
     return [x for x in out if x is not None]
 
 
-def _inside(bins: _Bins, r: tuple, capacity: int, shards: int) -> bool:
-    """Whether a cut of this capacity may lie inside range r."""
-    k = bisect.bisect_left(bins.rows, r)
-    return any(low <= bins.before[k] < high or bins.before[k] < high < bins.ends[k] for low, high in bins.walk(capacity, shards))
-
-
-def _joined(rows: list[tuple]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, z, *_ in sorted(rows):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(z, out[-1][1])
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def _slots(rows: DataFrame, shards: int, per_bucket: int = 4096) -> DataFrame:
     """Adds slot: 0, 1, ... within each shard. Buckets by a hash of the row keep a shard from being one task."""
     total = rows.count()
@@ -150,7 +176,8 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Null text: size 1, no crc, in a group with other null texts. Equal texts share a shard,
-    however many; shards may stay empty if there are fewer groups. Reruns agree.
+    however many; shards may stay empty if there are fewer groups. An empty table gives no
+    rows. Other columns are not read. Reruns agree.
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_size(text).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"))

@@ -125,6 +125,25 @@ def test_cuts_are_minimax(spark, n, shards, seed):
     assert cuts == sorted(cuts) and max(fill) == least_capacity([s for _, s in rows], shards)
 
 
+@pytest.mark.parametrize("shares", [(0.1,), (0.12,), (0.124,), (0.115, 0.115), (0.11, 0.12, 0.123, 0.06)])
+def test_cuts_with_groups_just_below_an_even_share(spark, monkeypatch, shares):
+    """One or more groups that nearly fill a shard, among 50,000 small ones: exact, with a bounded histogram a round."""
+    n = 50_000
+    small = 450 * n
+    groups = spark.range(n).select(F.xxhash64("id").alias("h"), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(900)) + 1).alias("bytes"))
+    large = [(k * 1234567890123456789 % (1 << 63), int(small * x / (1 - sum(shares)))) for k, x in enumerate(shares, 1)]
+    groups = groups.union(spark.createDataFrame(large, "h long, bytes long")).cache()
+    sizes, seen = sorted((r.h, r.bytes) for r in groups.collect()), []
+    histogram = sharding._histogram
+    monkeypatch.setattr(sharding, "_histogram", lambda *a: seen.append(histogram(*a)) or seen[-1])
+    cuts = sharding.cut_points(groups, 8)
+    fill = [0] * 8
+    for h, s in sizes:
+        fill[sum(h >= c for c in cuts)] += s
+    assert max(fill) == least_capacity([s for _, s in sizes], 8)
+    assert max(map(len, seen)) <= sharding.ROUND and len(seen) < 40
+
+
 def test_shard_odd(make, odd_rows):
     rows = sharding.assign_shards(make(odd_rows)).collect()
     assert len(rows) == len(odd_rows)

@@ -1,16 +1,17 @@
 """Operator 2: scoring by a hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). The most frequent words lie
-in classes of equal size by rank. All others, seen or not, share one more class, which is a tree
-of classes in classes, and each step down is a softmax of its own. A word of the broadcast table
-is a leaf by itself. Beyond it, a word's hash names a leaf of a subtree that has one for every
-``LEAF`` such words of the counted vocabulary, so that its depth grows with the input; only the
-few words of such a leaf share its probability by their smoothed counts, which come by a join.
-
-All factors are maximum-entropy models: the log unigram plus one row of weights for each
-feature of the history, found by hashing the words' own hashes: the word before, the two before
-together, and skips to the second and third before (for words, crossed with the class; in the
-tree, the word before crossed with the node). The number of rows grows with the vocabulary.
+Words lie in classes, these in classes of classes, and so on: a tree in which a node has up to
+``WIDE`` children of about equal frequency, so that a frequent word is few steps from the root.
+P(word | history) is the product of the steps down, each a softmax over a node's children. A
+word of the broadcast table is a leaf by itself. All others, seen or not, share one leaf, below
+which a word's hash leads to one of the far leaves; there is one for every ``LEAF`` such words
+of the counted vocabulary, so that their depth grows with the input. Only the few words of a
+far leaf share its probability by their smoothed counts, which come by a join.
+
+Each softmax is a maximum-entropy model: the log unigram plus one row of weights for each
+feature of the history, found by hashing the words' own hashes with the node: the word before
+and, for the first step, also the two before together and skips to the second and third
+before. The number of rows grows with the vocabulary.
 
 Counts, vocabulary and training cover all learning documents. Each partition makes AdaGrad
 updates over its own tokens; the partitions' weights meet in a two-level tree of averages,
@@ -32,17 +33,20 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, materialize, mix64, slices, word_hashes
 
-CLASSES, SIZE = 40, 40
+#: Children of a node. Features of the first step, and of the others: places in ``history``.
+WIDE, FIRST, LATER = 16, (0, 1, 2, 3), (0,)
 #: Words with counts at every scorer, at most; counts of others come by a join.
 TABLE = 1 << 18
-#: Words for each leaf beyond the table, on average; children of a node, at most.
-LEAF, WIDEST = 4, 9
-#: Rows of weights at least, and for each root of the number of words (the tree has four times as many).
-CLASS_ROWS, WORD_ROWS, ROWS = 1 << 14, 1 << 15, 32
-RATE, BATCH, PRIOR = 0.1, 4096, 0.1
+#: Words for each far leaf, on average, at most.
+LEAF = 4
+#: Rows of weights at least, and for each root of the number of words.
+LEAST_ROWS, ROWS = 1 << 17, 64
+RATE, BATCH, PRIOR = 0.8, 4096, 0.1
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Rows of weights that travel together.
-CHUNK = 1 << 10
+CHUNK = 1 << 12
+#: Leading bits of a hash that lead to its place in the table.
+_PLACE = 21
 
 
 def token_stream(column) -> tuple[np.ndarray, np.ndarray]:
@@ -87,20 +91,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def tree_shape(leaves: int) -> tuple[int, int]:
-    """Children of a node and depth of a tree with so many leaves at least."""
-    depth = 0
-    while WIDEST**depth < leaves:
-        depth += 1
-    width = 2
-    while width**depth < leaves:
-        width += 1
-    return width, depth
-
-
 @dataclass
 class Vocabulary:
-    """The most frequent words (hash order), with counts, ranks and places in classes (-1: the rare class), and totals; counts of bins below ``least`` are not here."""
+    """The most frequent words (hash order), with counts and ranks, totals, and the tree; counts of bins below ``least`` are not here.
+
+    ``path`` and ``child`` have a row for each leaf, by rank, and one for all words that are not
+    here: the nodes from the root down (-1 beyond the leaf) and the child taken at each.
+    """
 
     word: np.ndarray
     count: np.ndarray
@@ -110,68 +107,89 @@ class Vocabulary:
     least: int = 1 << 30
 
     def __post_init__(self) -> None:
-        m = CLASSES * SIZE
-        own = self.rank < m
-        self.place = np.where(own, self.rank, -1)
-        by_rank = np.zeros(m)
-        by_rank[self.rank[own]] = self.count[own]
-        by_class = np.append(by_rank.reshape(CLASSES, SIZE).sum(axis=1), self.total - by_rank.sum())
-        self.rare_total, self.rare_distinct = int(by_class[-1]), self.distinct - int(own.sum())
-        self.class_bias = np.log((by_class + PRIOR) / (by_class + PRIOR).sum()).astype(np.float32)
-        # Empty places of a class have no mass worth naming.
-        self.word_bias = np.where(by_rank > 0, np.log(np.maximum(by_rank, 1e-9)), -60.0).reshape(CLASSES, SIZE).astype(np.float32)
-        # The root's first child is the words beyond the table, the others have leaves for the rest of the table.
-        tail = max(0, len(self.word) - m)
-        self.width, self.depth = tree_shape(max(2, tail * WIDEST // (WIDEST - 1) + WIDEST))
-        first = self.width ** (self.depth - 1)
-        while (self.width - 1) * first < tail:
-            self.width += 1
-            first = self.width ** (self.depth - 1)
-        self.leaf = np.where(own, -1, first + (self.rank - m) * ((self.width - 1) * first) // max(1, tail))
-        mass = np.zeros(self.width**self.depth)
-        mass[self.leaf[~own]] = self.count[~own]
-        mass[0] = self.total - int(self.count.sum()) + PRIOR * (self.distinct - len(self.word) + 1)
-        steps = []
-        for _ in range(self.depth):
-            mass = mass.reshape(-1, self.width)
-            steps.append(np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -60.0).astype(np.float32))
-            mass = mass.sum(axis=1)
-        # Beyond the table hashes are even, and so are the biases.
-        self.far_width, self.far_depth = tree_shape(-(-(self.distinct - len(self.word)) // LEAF))
-        self.far_leaves = self.far_width**self.far_depth
-        wide = max(self.width, self.far_width)
-        near = np.concatenate(steps[::-1])  # nodes by depth, then from left to right
-        self.step_bias = np.full((len(near) + 1, wide), -60.0, dtype=np.float32)
-        self.step_bias[:-1, : self.width] = near
-        self.step_bias[-1, : self.far_width] = 0
-        grown = ROWS * int(self.distinct**0.5)
-        self.rows = tuple(-(-max(least, times * grown) // CHUNK) * CHUNK for least, times in ((CLASS_ROWS, 1), (WORD_ROWS, 1), (WORD_ROWS, 4)))
-        self.widths = CLASSES + 1, SIZE, wide
+        mass = np.zeros(len(self.word) + 1)
+        mass[self.rank] = self.count
+        mass[-1] = self.total - int(self.count.sum()) + PRIOR * (self.distinct - len(self.word) + 1)
+        self.bias, self.path, self.child = _tree(mass)
+        self.far_depth = 0
+        while LEAF * WIDE**self.far_depth < self.distinct - len(self.word):
+            self.far_depth += 1
+        self.far_leaves = WIDE**self.far_depth
+        self.rows = -(-max(LEAST_ROWS, ROWS * int(self.distinct**0.5)) // CHUNK) * CHUNK
+        self._first: np.ndarray | None = None
 
     def far_leaf(self, tokens: np.ndarray) -> np.ndarray:
         return ((tokens >> np.uint64(1)) % np.uint64(self.far_leaves)).astype(np.int64)
 
-    def steps(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The steps down to words of the rare class, of which ``at`` are the places here: which token, node, child taken."""
-        near, far = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-        out = [(far, np.zeros(len(far), dtype=np.int64), np.zeros(len(far), dtype=np.int64))]
-        for who, leaf, width, depth, first in ((near, self.leaf[at[near]], self.width, self.depth, 0), (far, self.far_leaf(tokens[far]), self.far_width, self.far_depth, len(self.step_bias) - 1)):
-            for k in range(depth):
-                prefix = leaf // width ** (depth - k - 1)
-                out.append((who, first + prefix // width, prefix % width))
-                first += width**k
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-    def bias(self, node: np.ndarray) -> np.ndarray:
-        return self.step_bias[np.minimum(node, len(self.step_bias) - 1)]
-
     def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Index of each token, -1 if it isn't here."""
+        """Index of each token, -1 if it isn't here. The leading bits lead to the first word that has them; the few others follow it."""
+        out = np.full(len(tokens), -1, dtype=np.int64)
         if not len(self.word):
-            return np.full(len(tokens), -1, dtype=np.int64)
-        at = np.searchsorted(self.word, tokens)
-        at[at == len(self.word)] = 0
-        return np.where(self.word[at] == tokens, at, -1)
+            return out
+        if self._first is None:
+            self._first = np.searchsorted(self.word, np.arange(1 << _PLACE, dtype=np.uint64) << np.uint64(64 - _PLACE)).astype(np.int32)
+        at = self._first.take((tokens >> np.uint64(64 - _PLACE)).astype(np.int32))
+        who = np.arange(len(tokens))
+        while len(who):
+            there = at < len(self.word)
+            who, at = who[there], at[there]
+            found, wanted = self.word.take(at), tokens.take(who)
+            hit = found == wanted
+            out[who[hit]] = at[hit]
+            more = found < wanted
+            who, at = who[more], at[more] + 1
+        return out
+
+    def steps(self, tokens: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """By level: which token, row of the bias, the node's key, and child taken. ``at`` are the tokens' places here."""
+        leaf = np.full(len(at), len(self.word), dtype=np.int64)
+        leaf[at >= 0] = self.rank[at[at >= 0]]
+        path, child, out = self.path.take(leaf, axis=0), self.child.take(leaf, axis=0), []
+        for k in range(path.shape[1]):
+            who = np.flatnonzero(path[:, k] >= 0)
+            node = path[who, k]
+            out.append((who, node, node.astype(np.uint64), child[who, k]))
+        far = np.flatnonzero(at < 0)
+        last, leaf, first = len(self.bias) - 1, self.far_leaf(tokens[far]), len(self.bias)
+        for k in range(self.far_depth):
+            prefix = leaf // WIDE ** (self.far_depth - k - 1)
+            out.append((far, np.full(len(far), last, dtype=np.int32), (first + prefix // WIDE).astype(np.uint64), (prefix % WIDE).astype(np.int8)))
+            first += WIDE**k
+        return [x for x in out if len(x[0])]
+
+
+def _tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Biases of the nodes (a last row of zeros for far ones), and each leaf's path and children, for leaves of this mass in this order.
+
+    A node of up to ``WIDE`` leaves has them as children; others are cut at the leaf nearest to
+    each ``WIDE``-th of their mass. Children without a leaf have no mass worth naming.
+    """
+    whole = np.concatenate([[0], np.cumsum(mass)])
+    lo, hi, node, made = np.array([0]), np.array([len(mass)]), np.array([0]), 1
+    part = np.arange(1, WIDE)
+    biases, paths, children = [], [], []
+    while len(lo) and len(mass) > 1:
+        goal = whole[lo][:, None] + (whole[hi] - whole[lo])[:, None] * part / WIDE
+        cut = np.searchsorted(whole, goal).clip(1, len(mass))
+        cut -= goal - whole[cut - 1] < whole[cut] - goal
+        cut = np.where((hi - lo <= WIDE)[:, None], lo[:, None] + part, cut).clip(lo[:, None], hi[:, None])
+        edge = np.concatenate([lo[:, None], cut, hi[:, None]], axis=1)
+        own = np.diff(whole[edge], axis=1)
+        biases.append(np.where(np.diff(edge, axis=1) > 0, np.log(np.maximum(own, 1e-9) / own.sum(axis=1, keepdims=True)), -60.0).astype(np.float32))
+        size = hi - lo
+        seg = np.repeat(np.arange(len(lo)), size)
+        leaf = lo[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(size) - size, size)
+        paths.append(np.full(len(mass), -1, dtype=np.int32))
+        paths[-1][leaf] = node[seg]
+        children.append(np.zeros(len(mass), dtype=np.int8))
+        for k in range(WIDE - 1):
+            children[-1][leaf] += leaf >= cut[seg, k]
+        a, z = edge[:, :-1].ravel(), edge[:, 1:].ravel()
+        inner = z - a > 1
+        lo, hi = a[inner], z[inner]
+        node, made = made + np.arange(len(lo)), made + len(lo)
+    wide = lambda rows, kind: np.stack(rows, axis=1) if rows else np.zeros((len(mass), 0), dtype=kind)
+    return np.concatenate([*biases, np.zeros((1, WIDE), dtype=np.float32)]), wide(paths, np.int32), wide(children, np.int8)
 
 
 def count_bin():
@@ -194,149 +212,165 @@ def vocabulary(counts: DataFrame, most: int = TABLE) -> Vocabulary:
     word, count = word[order], count[order]
     rank = np.empty(len(word), dtype=np.int64)
     rank[np.lexsort((word, -count))] = np.arange(len(word))
-    if (end := np.flatnonzero(word == END)).size and rank[end[0]] >= CLASSES * SIZE:  # the end is always among the classes
-        rank[rank == CLASSES * SIZE - 1], rank[end[0]] = rank[end[0]], CLASSES * SIZE - 1
     return Vocabulary(word, count, rank, int(total or 0), int(distinct), least)
 
 
-_ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in range(9)]
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-
+_ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in range(4)]
+_STEP, _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
-def _row(x: np.ndarray, k: int, rows: int) -> np.ndarray:
-    return ((mix64(x * _ODD[k]) >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int32)
 
-
-def features(context: np.ndarray, n: np.ndarray, classes: np.ndarray, rows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of weights for each token: (4, tokens) for its class, (3, tokens) for the word inside its class; and the word before."""
+def history(tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """For each token, hashes of the word before, the two before together, the second and the third before; of what is before the text too."""
     start = np.repeat(np.cumsum(n) - n, n)
-    place = np.arange(len(context)) - start
+    place = np.arange(len(tokens)) - start
     back = []
     for j in (1, 2, 3):
-        shifted = np.zeros(len(context), dtype=np.uint64)  # before the text
-        shifted[j:] = np.where(place[j:] >= j, context[:-j] if j <= len(context) else context[:0], np.uint64(0))
+        shifted = np.zeros(len(tokens), dtype=np.uint64)  # before the text
+        shifted[j:] = np.where(place[j:] >= j, tokens[:-j] if j <= len(tokens) else tokens[:0], np.uint64(0))
         back.append(shifted)
     one, two, three = back
-    pair = mix64(one) + two
-    by_class = np.stack([_row(one, 0, rows[0]), _row(pair, 1, rows[0]), _row(two, 2, rows[0]), _row(three, 3, rows[0])])
-    cross = classes.astype(np.uint64) * _STEP
-    by_word = np.stack([_row(one + cross, 4, rows[1]), _row(two + cross, 5, rows[1]), _row(three + cross, 6, rows[1])])
-    return by_class, by_word, one
+    return [one * _ODD[0], mix64(one) + two * _ODD[1], two * _ODD[2], three * _ODD[3]]
+
+
+def weight_rows(context: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of weights of one feature, by its hash and the node's key."""
+    x = context ^ (key * _STEP)
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    x ^= x >> np.uint64(32)
+    return ((x * _ODD[0] >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int32)
+
 
+class Batch:
+    """The steps of some tokens: who takes them, rows of the bias, children taken; and for each feature the steps (a range) that have it, with their rows of weights."""
 
-def tree_features(before: np.ndarray, node: np.ndarray, rows: int) -> np.ndarray:
-    """The row of weights for each step in the tree, (1, steps), from the word before and the node."""
-    return _row(before + node.astype(np.uint64) * _STEP, 7, rows)[None]
+    def __init__(self, v: Vocabulary, tokens: np.ndarray, at: np.ndarray, contexts: list[np.ndarray]):
+        levels = v.steps(tokens, at)
+        self.parts, begin = [], 0
+        for k, (who, _, key, _) in enumerate(levels):
+            for f in FIRST if k == 0 else LATER:
+                self.parts.append((begin, begin + len(who), weight_rows(contexts[f].take(who), key, v.rows)))
+            begin += len(who)
+        if levels:
+            self.who, self.bias, _, self.child = map(np.concatenate, zip(*levels, strict=True))
+        else:
+            self.who, self.bias, self.child = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8)
 
 
-class Factor:
-    """One softmax: rows of weights that add to a bias."""
+_ONES = np.ones(WIDE, dtype=np.float32)
 
-    def __init__(self, rows: int, width: int, weights: np.ndarray | None = None):
-        self.weights = np.zeros((rows, width), dtype=np.float32) if weights is None else weights
-        self.squares: np.ndarray | None = None
-        self.uses = np.zeros(rows, dtype=np.int64)
 
-    def log_softmax(self, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = bias + self.weights[rows[0]]
-        for r in rows[1:]:
-            z += self.weights[r]
+class Model:
+    """Rows of weights, each with the sum of its squared gradients and the number of its uses."""
+
+    def __init__(self, bias: np.ndarray, rows: int, weights: np.ndarray | None = None):
+        self.bias = bias
+        self.weights = np.zeros((rows, WIDE), dtype=np.float32) if weights is None else weights
+        self.squares, self.uses = np.ones(rows, dtype=np.float32), np.zeros(rows, dtype=np.float32)
+
+    def scores(self, b: Batch) -> np.ndarray:
+        """Bias and weights of each step's children, with the largest at 0."""
+        z = self.bias.take(b.bias, axis=0)
+        for first, stop, rows in b.parts:
+            z[first:stop] += self.weights.take(rows, axis=0)
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
-    def update(self, bias: np.ndarray, rows: np.ndarray, answer: np.ndarray) -> None:
-        if self.squares is None:
-            self.squares = np.ones_like(self.weights)  # the first step of a row is as small as its gradient
-        g = np.exp(self.log_softmax(bias, rows))
-        g[np.arange(len(answer)), answer] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        row = flat[order]
+    def log_probability(self, b: Batch) -> np.ndarray:
+        """Of each step."""
+        z = self.scores(b)
+        own = z[np.arange(len(z)), b.child]
+        return own - np.log(np.exp(z, out=z) @ _ONES)
+
+    def update(self, b: Batch) -> None:
+        """One AdaGrad step: a row's gradients of the batch count as one."""
+        if not len(b.child):
+            return
+        g = self.scores(b)
+        np.exp(g, out=g)
+        g /= (g @ _ONES)[:, None]
+        g[np.arange(len(g)), b.child] -= 1
+        row = np.concatenate([r for _, _, r in b.parts]).astype(np.uint64)
+        step = np.concatenate([np.arange(first, stop, dtype=np.uint64) for first, stop, _ in b.parts])
+        key = (row << np.uint64(32)) | step
+        key.sort()
+        row, step = (key >> np.uint64(32)).astype(np.int32), (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        total = np.add.reduceat(g[order % len(answer)], first)
-        row, times = row[first], np.diff(np.append(first, len(flat)))
-        self.uses[row] += times
-        squares = self.squares[row] + np.square(total)
+        times = np.diff(np.append(first, len(row)))
+        total = g.take(step.take(first), axis=0)
+        if len(several := np.flatnonzero(times > 1)):
+            begin = times[several]
+            total[several] = np.add.reduceat(g.take(step[np.repeat(times > 1, times)], axis=0), np.cumsum(begin) - begin)
+        row = row.take(first)
+        squares = self.squares.take(row) + np.einsum("ij,ij->i", total, total)
         self.squares[row] = squares
-        self.weights[row] -= RATE * total / np.sqrt(squares + 1e-6)
+        self.uses[row] += times
+        total *= (RATE / np.sqrt(squares))[:, None]
+        self.weights[row] -= total
 
 
-def _tokens(v: Vocabulary, tokens: np.ndarray, n: np.ndarray):
-    """Index in the vocabulary, class, place in the class and feature rows of each token, and the word before it."""
-    at = v.find(tokens)
-    known = at >= 0
-    place = np.where(known, v.place[at] if len(v.place) else -1, -1)
-    classes = np.where(place >= 0, place // SIZE, CLASSES)
-    return at, classes, place % SIZE, *features(tokens, n, classes, v.rows)
+def _batches(v: Vocabulary, part) -> Iterator[tuple[slice, Batch]]:
+    """Tokens of an Arrow string column by ``BATCH``; the first item is (all tokens, their numbers by row, places in the vocabulary)."""
+    tokens, n = token_stream(part)
+    at, contexts = v.find(tokens), history(tokens, n)
+    yield tokens, n, at
+    for k in range(0, len(tokens), BATCH):
+        s = slice(k, k + BATCH)
+        yield s, Batch(v, tokens[s], at[s], [x[s] for x in contexts])
 
 
-def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Weights of the factors after one pass over all texts.
+def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The model's weights after one pass over all texts.
 
     Neighbouring partitions train as one where all their weights would outweigh half the texts.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
-    widths, sizes = v.widths, v.rows
-    model = sum(r * (4 + 2 * w) for r, w in zip(sizes, widths, strict=True))
-    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, v.total * 6 // (2 * model)))
+    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, v.total * 6 // (2 * v.rows * (4 + 2 * WIDE))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         v = shared.value
-        classes_, words_, steps_ = factors = [Factor(r, w) for r, w in zip(v.rows, v.widths, strict=True)]
-        used = False
+        model = Model(v.bias, v.rows)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                tokens, n = token_stream(part["text"])
-                at, c, p, by_class, by_word, before = _tokens(v, tokens, n)
-                used = True
-                for k in range(0, len(c), BATCH):
-                    s = slice(k, k + BATCH)
-                    classes_.update(v.class_bias, by_class[:, s], c[s])
-                    own = k + np.flatnonzero(c[s] < CLASSES)
-                    if len(own):
-                        words_.update(v.word_bias[c[own]], by_word[:, own], p[own])
-                    rare = k + np.flatnonzero(c[s] == CLASSES)
-                    if len(rare):
-                        who, node, child = v.steps(tokens[rare], at[rare])
-                        steps_.update(v.bias(node), tree_features(before[rare[who]], node, v.rows[2]), child)
-        if used:
-            me = TaskContext.get().partitionId()
-            rows = [(me, which, k // CHUNK, f.uses[k : k + CHUNK].astype("<f4").tobytes() + f.weights[k : k + CHUNK].astype("<f2").tobytes()) for which, f in enumerate(factors) for k in range(0, len(f.uses), CHUNK) if f.uses[k : k + CHUNK].any()]
-            a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], names=["part", "factor", "chunk", "payload"])
+                work = _batches(v, part["text"])
+                next(work)
+                for _, b in work:
+                    model.update(b)
+        me = TaskContext.get().partitionId()
+        for k in range(0, v.rows, CHUNK):
+            if model.uses[k : k + CHUNK].any():
+                payload = model.uses[k : k + CHUNK].astype("<f4").tobytes() + model.weights[k : k + CHUNK].astype("<f2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([me], pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([payload], pa.binary())], names=["part", "chunk", "payload"])
 
     def average(table):
         import pyarrow as pa
 
-        factor, chunk = table["factor"][0].as_py(), table["chunk"][0].as_py()
-        width = widths[factor]
-        uses, total = np.zeros(CHUNK), np.zeros((CHUNK, width))
-        for x in table["payload"].to_pylist():
+        uses, total = np.zeros(CHUNK), np.zeros((CHUNK, WIDE))
+        for x in table["payload"]:
+            x = x.as_py()
             n = np.frombuffer(x, dtype="<f4", count=CHUNK).astype(np.float64)
-            kind = "<f2" if len(x) == CHUNK * (4 + 2 * width) else "<f4"
+            kind = "<f2" if len(x) == CHUNK * (4 + 2 * WIDE) else "<f4"
             uses += n
-            total += n[:, None] * np.frombuffer(x, dtype=kind, offset=4 * CHUNK).reshape(CHUNK, width)
+            total += n[:, None] * np.frombuffer(x, dtype=kind, offset=4 * CHUNK).reshape(CHUNK, WIDE)
         total /= np.maximum(uses, 1)[:, None]
         payload = uses.astype("<f4").tobytes() + total.astype("<f4").tobytes()
-        return pa.table({"factor": pa.array([factor], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "payload": pa.array([payload], pa.binary())})
+        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
-    local = materialize(docs.select("text").mapInArrow(run, "part long, factor int, chunk int, payload binary"), "lm-weights")
+    local = materialize(docs.select("text").mapInArrow(run, "part long, chunk int, payload binary"), "lm-weights")
     wide = int(local.agg(F.max("part")).first()[0] or 0) + 1
     groups = max(1, int(wide**0.5))
-    schema = "factor int, chunk int, payload binary"
-    half = local.groupBy("factor", "chunk", (F.col("part") % groups).alias("g")).applyInArrow(average, schema)
-    out = tuple(np.zeros((r, w), dtype=np.float32) for r, w in zip(sizes, widths, strict=True))
-    for r in half.groupBy("factor", "chunk").applyInArrow(average, schema).collect():  # bounded: the model's size
-        out[r.factor][r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.payload), dtype="<f4", offset=4 * CHUNK).reshape(CHUNK, -1)
+    schema = "chunk int, payload binary"
+    half = local.groupBy("chunk", (F.col("part") % groups).alias("g")).applyInArrow(average, schema)
+    out = np.zeros((v.rows, WIDE), dtype=np.float32)
+    for r in half.groupBy("chunk").applyInArrow(average, schema).toLocalIterator():  # bounded: the model's size
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.payload), dtype="<f4", offset=4 * CHUNK).reshape(CHUNK, WIDE)
     return out
 
 
-def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, ...]) -> DataFrame:
+def _score_pass(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> DataFrame:
     """Kind 0: a row a document with what is known at once; kind 1: (document, word, times) of words outside the table."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((v, weights))
@@ -346,29 +380,19 @@ def _score_pass(docs: DataFrame, v: Vocabulary, weights: tuple[np.ndarray, ...])
         from pyspark import TaskContext
 
         v, weights = shared.value
-        classes_, words_, steps_ = (Factor(*x.shape, x) for x in weights)
+        model = Model(v.bias, v.rows, weights)
         row = TaskContext.get().partitionId() << 36
         unigram = np.log10((v.count + PRIOR) / (v.total + PRIOR * (v.distinct + 1)))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                tokens, n = token_stream(part["text"])
-                at, c, p, by_class, by_word, before = _tokens(v, tokens, n)
+                work = _batches(v, part["text"])
+                tokens, n, at = next(work)
                 known = at >= 0
-                score, base = np.zeros(len(c)), np.zeros(len(c))
+                score, base = np.zeros(len(tokens)), np.zeros(len(tokens))
                 if len(v.count):
                     base[known] = unigram[at[known]]
-                for k in range(0, len(c), BATCH):
-                    s = slice(k, k + BATCH)
-                    i = np.arange(len(c[s]))
-                    score[s] = classes_.log_softmax(v.class_bias, by_class[:, s])[i, c[s]]
-                    own = k + np.flatnonzero(c[s] < CLASSES)
-                    if len(own):
-                        score[own] += words_.log_softmax(v.word_bias[c[own]], by_word[:, own])[np.arange(len(own)), p[own]]
-                    rare = k + np.flatnonzero(c[s] == CLASSES)
-                    if len(rare):
-                        who, node, child = v.steps(tokens[rare], at[rare])
-                        z = steps_.log_softmax(v.bias(node), tree_features(before[rare[who]], node, v.rows[2]))
-                        score[rare] += np.bincount(who, weights=z[np.arange(len(who)), child], minlength=len(rare))
+                for s, b in work:
+                    score[s] = np.bincount(b.who, weights=model.log_probability(b), minlength=len(score[s]))
                 score /= np.log(10)
                 first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, score)]
@@ -403,10 +427,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     weights = train(learning, v)
     found = materialize(_score_pass(docs, v, weights), "lm-scores")
     rows = found.where("kind = 0").drop("kind")
-    rare = found.where("kind = 1").select("r", F.col("doc_id").alias("w"), F.col("n").alias("times"))
-    rare = rare.join(counts.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"), "left").select("r", "times", F.coalesce("c", F.lit(0)).alias("c"), (F.shiftrightunsigned("w", 1) % v.far_leaves).alias("leaf"))
-    leaves = counts.where(count_bin() < v.least).groupBy((F.shiftrightunsigned("w", 1) % v.far_leaves).alias("_leaf")).agg(F.sum("c").alias("leaf_c"), F.count(F.lit(1)).alias("leaf_n"))
-    rare = rare.join(leaves, F.col("leaf") == F.col("_leaf"), "left")
+    leaf = lambda w: F.shiftrightunsigned(w, 1) % v.far_leaves
+    rare = found.where("kind = 1").select("r", F.col("doc_id").alias("w"), F.col("n").alias("times"), leaf("doc_id").alias("leaf"))
+    # A far leaf's few words travel as one row, so that one join gives a word's count and its leaf's.
+    leaves = counts.where(count_bin() < v.least).groupBy(leaf("w").alias("_leaf")).agg(F.sum("c").alias("leaf_c"), F.count(F.lit(1)).alias("leaf_n"), F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("of"))
+    rare = rare.join(leaves, F.col("leaf") == F.col("_leaf"), "left").withColumn("c", F.coalesce(F.try_element_at("of", F.col("w")), F.lit(0)))
     share = F.log10(F.col("c") + PRIOR) - F.log10(F.coalesce("leaf_c", F.lit(0)) + PRIOR * (F.coalesce("leaf_n", F.lit(0)) + 1))
     top = F.log10(F.col("c") + PRIOR)
     below = float(np.log10(v.total + PRIOR * (v.distinct + 1)))

@@ -54,27 +54,84 @@ def test_lm_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def _vocabulary(kinds, kept, seed=0):
+    """Words by falling counts, of which the first ``kept`` are in the table."""
+    count = np.maximum(1, 400_000 // np.arange(1, kinds + 1))
+    every = langmodel.mix64(np.arange(kinds, dtype=np.uint64) + np.uint64(seed))
+    order = np.argsort(every[:kept])
+    return langmodel.Vocabulary(every[:kept][order], count[:kept][order], order, int(count.sum()), kinds), every, count
+
+
 def test_lm_is_a_distribution():
-    count = np.arange(3000, 0, -1)
-    v = langmodel.Vocabulary(np.arange(3000, dtype=np.uint64), count, np.arange(3000), int(count.sum()), 3000)
-    r = np.random.default_rng(1)
-    f, g = langmodel.Factor(64, langmodel.CLASSES + 1), langmodel.Factor(64, langmodel.SIZE)
-    for x in (f, g):
-        x.weights[:] = r.standard_normal(x.weights.shape)
-    p = np.exp(f.log_softmax(v.class_bias, r.integers(0, 64, (4, 5)))).sum(axis=1)
-    q = np.exp(g.log_softmax(v.word_bias[[0, 1, 2, 3, 4]], r.integers(0, 64, (3, 5)))).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4) and np.allclose(q, 1, atol=1e-4)
-    rare = (count[langmodel.CLASSES * langmodel.SIZE :] + 0.1).sum() + 0.1
-    assert rare == pytest.approx(v.rare_total + 0.1 * (v.rare_distinct + 1))
+    """Over all leaves, near and far, the probabilities after any history sum to 1, with any weights; without weights they are the counts'."""
+    for kinds, kept in ((1, 1), (2, 2), (40, 40), (3000, 3000), (3000, 2990), (3000, 2000), (400_000, 50_000)):
+        v, every, count = _vocabulary(kinds, kept)
+        if kinds > kept:
+            assert np.bincount(v.far_leaf(every[kept:])).max() < 10 * langmodel.LEAF
+        leaves = np.arange(v.far_leaves, dtype=np.uint64) << np.uint64(1)  # one hash for each
+        tokens = np.concatenate([v.word, leaves])
+        at = np.concatenate([np.arange(kept), np.full(len(leaves), -1)])
+        b = langmodel.Batch(v, tokens, at, [np.full(len(tokens), 7 + k, dtype=np.uint64) for k in range(4)])
+        model = langmodel.Model(v.bias, v.rows)
+        plain = np.exp(np.bincount(b.who, weights=model.log_probability(b), minlength=len(tokens)))
+        assert np.allclose(plain[np.argsort(v.rank)], count[:kept] / (count.sum() + 0.1 * (kinds - kept + 1)), rtol=1e-3)
+        model.weights[:] = np.random.default_rng(1).standard_normal(model.weights.shape)
+        assert np.exp(np.bincount(b.who, weights=model.log_probability(b), minlength=len(tokens))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_vocabulary_finds_words():
+    v, every, _ = _vocabulary(300_000, 200_000)
+    at = v.find(every)
+    assert (at[200_000:] == -1).all() and (v.word[at[:200_000]] == every[:200_000]).all()
+    few = langmodel.Vocabulary(np.array([1, 2, 5, 2**63], dtype=np.uint64), np.array([4, 3, 2, 1]), np.arange(4), 10, 4)
+    assert few.find(np.array([0, 1, 2, 3, 5, 6, 2**63, 2**64 - 1], dtype=np.uint64)).tolist() == [-1, 0, 1, -1, 2, -1, 3, -1]
+
+
+def test_lm_matches_a_plain_softmax():
+    """Batches, sorting and gathering give what a loop over steps, children and features gives: probabilities, then one update."""
+    r = np.random.default_rng(3)
+    v, every, _ = _vocabulary(500, 300)
+    tokens, n = every[r.integers(0, 500, 200)], np.array([120, 80])
+    at, contexts = v.find(tokens), langmodel.history(tokens, n)
+    model = langmodel.Model(v.bias, v.rows)
+    model.weights[:] = r.standard_normal(model.weights.shape) / 3
+    weights, got = model.weights.astype(np.float64), np.zeros(200)
+    want, gradient = np.zeros(200), {}
+    for k in range(200):
+        leaf = v.rank[at[k]] if at[k] >= 0 else len(v.word)
+        steps = [(int(x), v.bias[x], int(c)) for x, c in zip(v.path[leaf], v.child[leaf], strict=True) if x >= 0]
+        first = len(v.bias)
+        for d in range(v.far_depth if at[k] < 0 else 0):
+            way = int(v.far_leaf(tokens[k : k + 1])[0]) // langmodel.WIDE ** (v.far_depth - d - 1)
+            steps.append((first + way // langmodel.WIDE, np.zeros(langmodel.WIDE), way % langmodel.WIDE))
+            first += langmodel.WIDE**d
+        for d, (node, bias, child) in enumerate(steps):
+            rows = [int(langmodel.weight_rows(contexts[f][k : k + 1], np.array([node], dtype=np.uint64), v.rows)[0]) for f in ((0, 1, 2, 3) if d == 0 else (0,))]
+            z = np.exp(bias + sum(weights[x] for x in rows))
+            p = z / z.sum()
+            want[k] += np.log(p[child])
+            p[child] -= 1
+            for x in rows:
+                gradient[x] = gradient.get(x, 0) + p
+    b = langmodel.Batch(v, tokens, at, contexts)
+    got = np.bincount(b.who, weights=model.log_probability(b), minlength=200)
+    assert np.allclose(got, want, atol=1e-4)
+    model.update(b)
+    for x, g in gradient.items():
+        weights[x] -= langmodel.RATE * g / np.sqrt(1 + (g * g).sum())
+    assert np.allclose(model.weights, weights, atol=1e-4) and set(np.flatnonzero(model.uses)) == set(gradient)
 
 
 def test_lm_learns():
-    """A factor comes near the frequencies that its only feature has."""
-    f, rows = langmodel.Factor(16, 4), np.repeat(np.array([[3]]), 400, axis=1)
+    """A node comes near the frequencies that its children have after a word."""
+    v = langmodel.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.full(4, 100), np.arange(4), 400, 4)
     y = np.arange(400) % 4 % 3
+    contexts = [np.full(400, 9, dtype=np.uint64)] * 4
+    model = langmodel.Model(v.bias, v.rows)
     for _ in range(600):
-        f.update(np.zeros(4, dtype=np.float32), rows, y)
-    assert np.allclose(np.exp(f.log_softmax(np.zeros(4, dtype=np.float32), rows[:, :1]))[0], [0.5, 0.25, 0.25, 0], atol=0.05)
+        model.update(langmodel.Batch(v, v.word[y], y, contexts))
+    b = langmodel.Batch(v, v.word, np.arange(4), [c[:4] for c in contexts])
+    assert np.allclose(np.exp(model.log_probability(b)), [0.5, 0.25, 0.25, 0], atol=0.05)
 
 
 def test_lm_odd(make, odd_rows):
@@ -279,38 +336,14 @@ def test_tensors(make):
     assert t.type.shape == [media.PATCH, media.MELS] and len(t) == len(rows)
 
 
-def test_lm_tree_grows_with_the_vocabulary():
-    """A word of the table is a leaf by itself, leaves beyond it hold few words however many there are, and all leaves sum to 1."""
-    for kinds, kept in ((3000, 3000), (3000, 2990), (3000, 2000), (400_000, 50_000)):
-        count = np.maximum(1, 400_000 // np.arange(1, kinds + 1))
-        every = langmodel.mix64(np.arange(kinds, dtype=np.uint64))
-        order = np.argsort(every[:kept])
-        v = langmodel.Vocabulary(every[:kept][order], count[:kept][order], order, int(count.sum()), kinds)
-        far = every[kept:]
-        if len(far):
-            assert np.bincount(v.far_leaf(far)).max() < 10 * langmodel.LEAF
-        g = langmodel.Factor(v.rows[2], v.widths[2])
-        g.weights[:] = np.random.default_rng(1).standard_normal(g.weights.shape)
-        near = v.word[v.place < 0]
-        leaves = np.arange(v.far_leaves, dtype=np.uint64) << np.uint64(1)  # one hash for each
-        tokens = np.concatenate([near, leaves])
-        at = np.concatenate([v.find(near), np.full(len(leaves), -1)])
-        who, node, child = v.steps(tokens, at)
-        z = g.log_softmax(v.bias(node), langmodel.tree_features(np.full(len(node), 7, dtype=np.uint64), node, v.rows[2]))
-        path = np.bincount(who, weights=z[np.arange(len(who)), child])
-        assert len(path) == len(tokens) and np.exp(path).sum() == pytest.approx(1, abs=1e-3)
-
-
 def test_lm_history_tells_rare_words_apart():
     """Words and pairs in a history have rows of their own, also those outside the table."""
     import pyarrow as pa
 
-    count = np.arange(3000, 0, -1)
-    v = langmodel.Vocabulary(np.arange(3000, dtype=np.uint64), count, np.arange(3000), int(count.sum()), 3000)
     tokens, n = langmodel.token_stream(pa.array(["zig alpha x", "zag alpha x", "zog beta x"]))
-    by_class, by_word = langmodel._tokens(v, tokens, n)[3:5]
+    one, pair, two, three = (langmodel.weight_rows(x, np.zeros(len(x), dtype=np.uint64), 1 << 17) for x in langmodel.history(tokens, n))
     after = np.array([1, 5, 9])
-    assert len(set(by_class[0, after])) == len(set(by_class[1, after + 1])) == len(set(by_word[0, after])) == 3
+    assert len(set(one[after])) == len(set(pair[after + 1])) == len(set(two[after + 1])) == len(set(three[after + 2])) == 3
 
 
 def test_scrub_edits_replace_whole_addresses():

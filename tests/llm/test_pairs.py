@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def test_neighbours(spark):
 
 def test_neighbours_odd(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 50)
-    monkeypatch.setattr(neighbours, "CHUNK", 2)
+    monkeypatch.setattr(neighbours, "FLOATS", 20)
     r = np.random.default_rng(3)
     x = r.standard_normal((300, 8)).astype(np.float32)
     x[50:150] = x[50]  # one very common vector
@@ -63,6 +64,23 @@ def test_neighbours_odd(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0 and neighbours.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "width"), [("normal", 64), ("clustered", 64), ("clustered", 16)])
+def test_neighbours_verify_few(spark, kind, width):
+    """On 50,000 vectors, several blocks: recall, and how few vectors are verified (normal ones have no near neighbours: the hardest case)."""
+    r = np.random.default_rng(5)
+    n = 50_000
+    x = r.standard_normal((n, width))
+    if kind == "clustered":
+        x = x * 0.4 + r.standard_normal((40, width))[r.integers(0, 40, n)]
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table).repartition(4)
+    rows = neighbours.nearest(df, F.col("vec_id") % 1000 == 0).collect()
+    assert recall(rows, range(n), x.astype(np.float64), range(0, n, 1000)) >= 0.95
+    verified = {q.query_id: q.verified for q in rows}
+    assert len(verified) == 50 and sum(verified.values()) / 50 / n < (0.2 if kind == "normal" else 0.1)
+
+
 def test_jaccard_query(spark, same_as_sql):
     same_as_sql(QUERIES["op10_ngram_jaccard"](spark, SF), ORACLE_SQL["op10_ngram_jaccard"])
 

@@ -162,6 +162,33 @@ def test_token_edits_are_local():
     assert tree.encoded - before < 4 * token_counts.LEAF
 
 
+@pytest.mark.parametrize("kind", ["letters", "mixed", "lines", "ends", "digits", "marks", "scripts", "quotes"])
+def test_token_edits_without_spaces(kind):
+    """1,000 edits in 100,000 characters re-encode little, and the counts are those of the whole text. (In a run of one character alone all tokens after an edit shift: 20 edits, counts only.)"""
+    count, r = token_counts.counter(), random.Random(kind)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    piece = {
+        "letters": word, "mixed": lambda: word() + r.choice(["1", "22", ",", "-", ";", "'s", "'"]), "lines": lambda: word() + r.choice("\n\t"), "ends": lambda: "\n" * 9,
+        "digits": lambda: str(r.randint(0, 99999)), "marks": lambda: r.choice("!?.,;-_'\"") * r.randint(1, 3), "scripts": lambda: r.choice(["漢字", "かな", "слово", "é\u0301", "🙂", "٣"]), "quotes": lambda: r.choice(["'s", "'re", "'", "a", "ll", "x'd"]),
+    }[kind]
+    text = ""
+    while len(text) < 100_000:
+        text += "".join(piece() for _ in range(1000))
+    text = text[:100_000]
+    tree = token_counts.TokenTree(text, count)
+    assert tree.tokens == count(text)
+    before, size = tree.encoded, len(text)
+    edits = 20 if kind == "ends" else 1000
+    for k in range(edits):
+        a = r.randint(0, len(text))
+        b, new = min(len(text), a + r.randint(0, 6)), piece()[: r.randint(0, 6)]
+        text = text[:a] + new + text[b:]
+        tree.edit(a, b, new)
+        if k % (edits // 4) == 0:
+            assert tree.text() == text and tree.tokens == count(text)
+    assert tree.tokens == count(text) and (kind == "ends" or tree.encoded - before < 20 * size)
+
+
 def test_token_counts(spark, make, odd_rows):
     count = token_counts.counter()
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

@@ -4,8 +4,9 @@ A document's UTF-8 bytes, padded with zeros to a positive multiple of ``UNIT``,
 samples of a mono 8-bit WAV at 24 kHz. Features come from the container's bytes, read back:
 polyphase resampling to 16 kHz (up 2, down 3), log-mel filterbanks over overlapping windows
 of 25 ms every 10 ms, and hysteresis segmentation of the frames' energy into time spans.
-Log-mels are cut into tensors of one fixed shape with their time spans; ``as_tensors`` gives
-them Arrow's fixed-shape tensor type.
+Log-mels are cut into tensors of one fixed shape with their time spans: ``audio_features`` has
+those of a document as one Arrow stream with Arrow's fixed-shape tensor type, to be stored
+like any binary column, and ``audio_digest`` stores it, reads it back and describes what it reads.
 
 All sums run over one document at a time in blocks of fixed size, so that equal texts have
 equal values whatever lies beside them, and a very long text needs no more memory.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import materialize, slices
 
 UNIT, RATE, UP, DOWN, TAPS = 64, 24000, 2, 3, 16
 FRAME, HOP, FFT, MELS = 400, 160, 512, 40
@@ -121,63 +122,115 @@ def milliseconds(frame: int) -> int:
     return frame * HOP * 1000 * DOWN // (RATE * UP)
 
 
-def describe(mels: np.ndarray, energy: np.ndarray) -> str:
-    """Feature digest: frames, loudest frame, spans, mean of each eighth of the mel bands."""
-    spans = segments(energy)
-    bands = mels.mean(axis=0, dtype=np.float64).reshape(8, -1).mean(axis=1)
-    active = sum(b - a for a, b in spans)
-    first = f"{milliseconds(spans[0][0])}-{milliseconds(spans[0][1])}"
-    return f"frames={len(mels)};peak={energy.max():.1f};spans={len(spans)};active={milliseconds(active)};first={first};mel=" + ",".join(f"{x:.2f}" for x in bands)
+def tensor_kind():
+    import pyarrow as pa
 
+    return pa.fixed_shape_tensor(pa.float16(), (PATCH, MELS), dim_names=("frame", "mel"))
+
+
+def pack_tensors(mels: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """An Arrow stream with a row for each tensor: its log-mels (silence beyond the end), number of frames, time span, and the spans of sound inside it."""
+    import pyarrow as pa
+
+    n = -(-len(mels) // PATCH)
+    padded_ = np.full((n * PATCH, MELS), -8, dtype=np.float16)
+    padded_[: len(mels)] = mels
+    first = np.arange(n) * PATCH
+    stop = np.minimum(first + PATCH, len(mels))
+    inside: list[list[dict]] = [[] for _ in range(n)]
+    for a, b in spans:
+        for k in range(a // PATCH, -(-b // PATCH)):
+            inside[k].append({"start_ms": milliseconds(max(a, k * PATCH)), "end_ms": milliseconds(min(b, (k + 1) * PATCH))})
+    tensor = pa.ExtensionArray.from_storage(tensor_kind(), pa.FixedSizeListArray.from_arrays(pa.array(padded_.ravel()), PATCH * MELS))
+    span = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([tensor, pa.array(stop - first), pa.array(milliseconds(first)), pa.array(milliseconds(stop)), pa.array(inside, span)], names=["tensor", "frames", "start_ms", "end_ms", "sound"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_tensors(stored) -> tuple[np.ndarray, object]:
+    """(tensors, PATCH, MELS) and the whole Arrow table of a stream of ``pack_tensors``."""
+    import pyarrow as pa
+
+    table = pa.ipc.open_stream(stored).read_all()
+    return table["tensor"].combine_chunks().to_numpy_ndarray(), table
+
+
+def describe(tensors: np.ndarray, table) -> str:
+    """Feature digest of stored tensors: their number, frames, time, spans of sound, mean of each eighth of the mel bands, and a checksum of all log-mels and spans."""
+    frames = int(np.asarray(table["frames"]).sum())
+    sound: list[list[int]] = []
+    for tensor in table["sound"].to_pylist():
+        for x in tensor:
+            if sound and sound[-1][1] == x["start_ms"]:
+                sound[-1][1] = x["end_ms"]  # goes on from the tensor before
+            else:
+                sound.append([x["start_ms"], x["end_ms"]])
+    own = tensors.reshape(-1, MELS)[:frames]
+    bands = own.mean(axis=0, dtype=np.float64).reshape(8, -1).mean(axis=1)
+    check = zlib.crc32(repr(sound).encode(), zlib.crc32(np.ascontiguousarray(own, dtype="<f2").tobytes()))
+    active = sum(b - a for a, b in sound)
+    return f"tensors={len(tensors)};frames={frames};ms={table['end_ms'][-1].as_py()};spans={len(sound)};active={active};first={sound[0][0]}-{sound[0][1]};mel=" + ",".join(f"{x:.2f}" for x in bands) + f";crc={check:08x}"
+
+
+_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
-def audio_digest(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Null text is empty: its payload is UNIT zeros. Other columns are not read.
+def audio_features(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, and its tensors as an Arrow stream (see ``pack_tensors``).
+
+    Null text is empty: its payload is UNIT zeros, one tensor. A repeated row is a document of
+    its own; an empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 21):
                 rows = []
                 for doc, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.large_binary()).to_pylist(), strict=True):
                     text = text or b""
                     media = store(padded(text))
                     back = load(media)
-                    feature = describe(*log_mels(np.frombuffer(back, dtype=np.uint8)))
-                    rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    mels, energy = log_mels(np.frombuffer(back, dtype=np.uint8))
+                    rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), pack_tensors(mels, segments(energy))))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"{_MEDIA}, tensors binary")
+
+
+def audio_digest(docs: DataFrame) -> DataFrame:
+    """``audio_features`` stored and read back, with a description (``feature``) of the read tensors and spans in their place."""
+    stored = materialize(audio_features(docs), "audio-tensors")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            feature = [describe(*unpack_tensors(x.as_buffer())) for x in batch["tensors"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(feature, pa.string())], names=[*batch.schema.names[:-1], "feature"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return stored.mapInArrow(run, f"{_MEDIA}, feature string")
 
 
 def audio_tensors(docs: DataFrame) -> DataFrame:
-    """A row for each tensor of a document: doc_id, patch, start_ms, end_ms, active_ms, and PATCH x MELS log-mels (row by row, silence beyond the end)."""
+    """A row for each tensor of a document: doc_id, patch, frames, start_ms, end_ms, sound, and PATCH x MELS log-mels (row by row). Nulls, empty and repeated rows as in ``audio_features``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
-                rows = []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.large_binary()).to_pylist(), strict=True):
-                    mels, energy = log_mels(np.frombuffer(load(store(padded(text or b""))), dtype=np.uint8))
-                    on = np.zeros(len(mels), dtype=bool)
-                    for a, b in segments(energy):
-                        on[a:b] = True
-                    for k in range(0, len(mels), PATCH):
-                        tensor = np.full((PATCH, MELS), -8, dtype=np.float32)
-                        own = mels[k : k + PATCH]
-                        tensor[: len(own)] = own
-                        rows.append((doc, k // PATCH, milliseconds(k), milliseconds(k + len(own)), milliseconds(int(on[k : k + PATCH].sum())), tensor.ravel()))
-                kinds = [*[pa.int64()] * 5, pa.list_(pa.float32())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "patch", "start_ms", "end_ms", "active_ms", "tensor"])
+            for doc, stored in zip(batch["doc_id"], batch["tensors"], strict=True):
+                tensors, table = unpack_tensors(stored.as_buffer())
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1) * PATCH * MELS, pa.int32()), pa.array(tensors.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(tensors), pa.int64()), pa.array(np.arange(len(tensors))), *[table[c].combine_chunks() for c in ("frames", "start_ms", "end_ms", "sound")], flat], names=["doc_id", "patch", "frames", "start_ms", "end_ms", "sound", "tensor"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, patch long, start_ms long, end_ms long, active_ms long, tensor array<float>")
+    schema = "doc_id long, patch long, frames long, start_ms long, end_ms long, sound array<struct<start_ms:long,end_ms:long>>, tensor array<float>"
+    return audio_features(docs).select("doc_id", "tensors").mapInArrow(run, schema)
 
 
 def as_tensors(column):
@@ -187,5 +240,4 @@ def as_tensors(column):
     kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=("frame", "mel"))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten()
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(column.flatten(), PATCH * MELS))

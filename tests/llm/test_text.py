@@ -348,6 +348,57 @@ def test_resampling_keeps_a_tone():
     assert np.allclose(media.resample(samples, 3000, 3500), media.resample(samples, 0, 16000)[3000:3500])
 
 
+def plain_features(payload):
+    """Log-mels and energies by direct convolution and a discrete Fourier transform written out, in double precision."""
+    x = [(b - 128) / 128 for b in payload]
+    taps, up, down = media.TAPS, media.UP, media.DOWN
+    n = np.arange(taps * up) - (taps * up - 1) / 2
+    h = np.sinc(n / 3) * np.hamming(len(n))
+    y, frames = [], 1 + max(0, -(-(-(-len(x) * up // down) - 400) // 160))
+    for m in range(frames * 160 + 240):  # samples beyond the end are silent, the filter still reaches back
+        phase, centre = m * down % up, m * down // up
+        own = h[phase::up][::-1]
+        own = own / own.sum()
+        y.append(sum(own[k] * (x[centre - taps // 2 + k] if 0 <= centre - taps // 2 + k < len(x) else 0) for k in range(taps)))
+    y = np.array(y)
+    k, t = np.arange(257)[:, None], np.arange(400)
+    wave_ = np.exp(-2j * np.pi * k * t / 512)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edge = 700 * (10 ** (np.linspace(0, mel(8000), 42) / 2595) - 1)
+    f = np.arange(257) * 16000 / 512
+    mels, energy = [], []
+    for j in range(frames):
+        w = y[j * 160 : j * 160 + 400] * np.hanning(400)
+        power = np.abs(wave_ @ w) ** 2
+        mels.append([np.log10(max(1e-8, sum(p * max(0, min((g - a) / (b - a), (c - g) / (c - b))) for p, g in zip(power, f, strict=True)))) for a, b, c in zip(edge, edge[1:], edge[2:])])  # noqa: B905
+        energy.append(10 * np.log10((w * w).mean() + 1e-10))
+    return np.array(mels), np.array(energy)
+
+
+@pytest.mark.parametrize("size", [1, 64, 600, 2000])
+def test_features_match_direct_sums(size):
+    payload = media.padded(bytes(random.Random(size).choices(b"etaoin shrdlu ETAOIN\n\xc3\xa9", k=size)))
+    mels, energy = media.log_mels(np.frombuffer(payload, dtype=np.uint8))
+    want, loud = plain_features(payload)
+    assert mels.shape == want.shape and np.allclose(mels, want, atol=2e-3) and np.allclose(energy, loud, atol=2e-3)
+    tensors, table = media.unpack_tensors(media.pack_tensors(mels, media.segments(energy)))
+    assert tensors.shape[1:] == (media.PATCH, media.MELS) and table.schema.field("tensor").type.shape == [media.PATCH, media.MELS]
+    assert np.allclose(tensors.reshape(-1, media.MELS)[: len(want)], want, atol=1e-2) and (tensors.reshape(-1, media.MELS)[len(want) :] == -8).all()
+
+
+def test_digest_describes_what_is_stored(make):
+    """The feature of the query is that of tensors and spans unpacked here, over several tensors and spans that cross their borders."""
+    text = "abc " * 9000 + "\x01" * 30_000 + "zyx " * 5000
+    r = media.audio_digest(make([(1, text)])).first()
+    mels, energy = media.log_mels(np.frombuffer(media.padded(text.encode()), dtype=np.uint8))
+    spans = [[media.milliseconds(a), media.milliseconds(b)] for a, b in media.segments(energy)]
+    half = mels.astype(np.float16)
+    found = dict(x.split("=") for x in r.feature.split(";"))
+    assert int(found["tensors"]) == -(-len(mels) // media.PATCH) > 3 and int(found["frames"]) == len(mels) and int(found["ms"]) == media.milliseconds(len(mels))
+    assert int(found["spans"]) == len(spans) and int(found["active"]) == sum(b - a for a, b in spans) and found["first"] == f"{spans[0][0]}-{spans[0][1]}"
+    assert int(found["crc"], 16) == zlib.crc32(repr(spans).encode(), zlib.crc32(half.tobytes()))
+
+
 def test_segments():
     e = np.array([-50, -9, -5, -1, 0, -5, -9, -50, -1, -4, -50], dtype=np.float32)
     assert media.segments(e) == [(3, 6), (8, 10)]

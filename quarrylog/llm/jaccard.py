@@ -35,9 +35,11 @@ from .components import merge_components
 WORDS, NUM, DEN = 5, 80, 100
 #: Bits of the sketch of shingle counts, and of its parts as they travel.
 BITS, CHUNK = 22, 1 << 16
-#: Lists up to this length give all pairs at once. Rows of a list that one task has, about.
-SHORT, PART = 4, 2000
-_PRESENT = 22
+_COUNTS = ("<u1", "<u2", "<u4", "<u8")
+#: Lists up to this length give all pairs at once. Rows of a list in one part, about, in the first round and later.
+SHORT, FIRST_PART, PART = 4, 500, 2000
+#: Leading bits of a cid that flags tell apart, at least and at most; about 16 flags for each cid between.
+_LEAST, _MOST = 16, 26
 #: Ranges of the suffix filter; rounds between the first and the last, and how far a row looks in them.
 RANGES, ROUNDS, REACH = 128, 1, 16
 
@@ -82,13 +84,13 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << BITS, dtype=np.int32)
+        counts = np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, _ = shingle_sets(part["text"], seed)
                 whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 slot, times = np.unique((whole >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
-                counts[slot] += times.astype(np.int32)
+                counts[slot] += times
                 prints = [fingerprints(s) for s in sets]
                 m = len(sets)
                 row = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -100,9 +102,9 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
                 )
         if counts.any():
             part_id = TaskContext.get().partitionId()
-            # A counter that is full in one partition is of a very common n-gram anyway.
-            small = np.minimum(counts, 255).astype(np.uint8)
-            chunks = [zlib.compress(small[k : k + CHUNK].tobytes(), 1) for k in range(0, len(counts), CHUNK)]
+            # The narrowest type that holds all of a chunk.
+            parts = (counts[k : k + CHUNK] for k in range(0, len(counts), CHUNK))
+            chunks = [zlib.compress(c.astype(next(t for t in _COUNTS if c.max() <= np.iinfo(t).max)).tobytes(), 1) for c in parts]
             m = len(chunks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([1] * m, pa.int32()), pa.array([part_id] * m, pa.int64()), *[pa.nulls(m, pa.int64())] * 3, pa.array(range(m), pa.int32()), pa.array(chunks, pa.binary())],
@@ -121,7 +123,7 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         total = np.zeros(CHUNK, dtype=np.uint64)
         for x in table["payload"].to_pylist():
             x = zlib.decompress(x)
-            total += np.frombuffer(x, dtype=np.uint8 if len(x) == CHUNK else "<u8")
+            total += np.frombuffer(x, dtype=f"<u{len(x) // CHUNK}")
         return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "payload": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary())})
 
     wide = max(1, int(parts.select(F.max("doc_id")).first()[0] or 0) + 1)
@@ -170,7 +172,7 @@ def _prefixes(docs: DataFrame, seed: int, sketch) -> DataFrame:
                 if tokens:
                     token, cid = np.concatenate(tokens), np.concatenate(cids)
                     expected = counts[(token >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)
-                    split = np.where(expected > usual + PART, (expected - usual) // PART + 1, 1)
+                    split = np.where(expected > usual + FIRST_PART, (expected - usual) // FIRST_PART + 1, 1)
                     salt = np.where(split > 1, (cid.view(np.uint64) % split.astype(np.uint64)).astype(np.int64), -1)
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cid), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(salt.astype(np.int32))], names=["token", "cid", "n", "pos", "salt"])
 
@@ -346,19 +348,29 @@ def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _presence(cids: DataFrame) -> np.ndarray:
-    """Flags for the leading bits of all cids; the driver gets 2^22 numbers at most."""
-    slots = cids.select(F.shiftrightunsigned("cid", 64 - _PRESENT).cast("int").alias("s")).distinct().toPandas().s.to_numpy()
-    present = np.zeros(1 << _PRESENT, dtype=bool)
-    present[slots] = True
-    return present
+class Presence:
+    """Flags for the leading bits of all cids of a table, as 64-bit words; the driver gets 2^20 words at most.
+
+    Where they are too few to tell cids apart, more sets travel than are asked for: all of them at most.
+    """
+
+    def __init__(self, cids: DataFrame, count: int):
+        self.bits = min(_MOST, max(_LEAST, (16 * count).bit_length()))
+        slot = F.shiftrightunsigned("cid", 64 - self.bits)
+        rows = cids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        self.words[np.asarray(rows["k"])] = np.asarray(rows["m"]).view(np.uint64)
+
+    def __call__(self, cids: np.ndarray) -> np.ndarray:
+        slot = cids.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
 
 
-def _sets(docs: DataFrame, seed: int, flags: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, seed: int, flags: Presence) -> DataFrame:
     """(cid, elements) of classes whose cid's leading bits are flagged."""
     present = docs.sparkSession.sparkContext.broadcast(flags)
 
@@ -368,9 +380,11 @@ def _sets(docs: DataFrame, seed: int, flags: np.ndarray) -> DataFrame:
         wanted, seen = present.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
+                found = [s for s in shingle_sets(part["text"], seed)[0] if len(s)]
+                every = np.array([fingerprints(s)[0] for s in found], dtype=np.int64)
                 cids, sets = [], []
-                for s in shingle_sets(part["text"], seed)[0]:
-                    if len(s) and (cid := fingerprints(s)[0]) not in seen and wanted[(cid & 0xFFFFFFFFFFFFFFFF) >> (64 - _PRESENT)]:
+                for s, cid, asked in zip(found, every.tolist(), wanted(every).tolist(), strict=True):
+                    if asked and cid not in seen:
                         seen.add(cid)
                         cids.append(cid)
                         sets.append(s.tobytes())
@@ -394,14 +408,13 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The sets that pairs ask for, and few others."""
-    present = sets.sparkSession.sparkContext.broadcast(_presence(_ends(pairs)))
+    present = sets.sparkSession.sparkContext.broadcast(Presence(_ends(pairs), 2 * pairs.count()))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            flags = present.value[(np.asarray(batch["cid"]).view(np.uint64) >> np.uint64(64 - _PRESENT)).astype(np.int64)]
-            yield batch.filter(pa.array(flags))
+            yield batch.filter(pa.array(present.value(np.asarray(batch["cid"]))))
 
     return sets.mapInArrow(run, "cid long, elements binary")
 
@@ -447,7 +460,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = materialize(_first_round(_prefixes(docs, seed, sketch), _partitions(spark, total)), "jaccard-first")
     lists = first.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "n", "pos")
     pairs = materialize(_sharing(first.where("kind = 0"), classes), "jaccard-sharing")
-    links = _verify(pairs, _sets(docs, seed, _presence(_ends(pairs))), "jaccard-first")
+    links = _verify(pairs, _sets(docs, seed, Presence(_ends(pairs), 2 * pairs.count())), "jaccard-first")
     ranges = classes.select(F.col("cid").alias("_x"), "ranges")
     comps, sets = merge_components(None, links), None
     for step in range(1, ROUNDS + 2):
@@ -457,7 +470,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         partitions = _partitions(spark, count, 1 << 17)
         if sets is None:  # once, for all that may still link
-            sets = materialize(_sets(docs, seed, _presence(open_.select("cid"))), "jaccard-sets")
+            sets = materialize(_sets(docs, seed, Presence(open_.select("cid"), count)), "jaccard-sets")
         full = open_.join(ranges, F.col("cid") == F.col("_x")).drop("_x")  # the wide rows travel once a round
         pairs = _next_round(full, partitions, step) if step <= ROUNDS else _last_round(full, partitions)
         pairs = materialize(pairs.select("a", "b").distinct(), f"jaccard-{step}-pairs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -85,6 +86,15 @@ SHORTEN = [
 ]
 
 
+_ENDINGS = (".mov", ".mp4", ".avi", ".mkv", ".pfm", ".png", ".jpg", ".jpeg", ".fbx", ".obj", ".log", ".txt")
+#: Strings of which any match of a rule holds one (in lower case where case is ignored): others are not searched.
+_PARTS = [
+    (GENERALISE, {0: ("<?>",), 1: ("<?>",), 2: ("\\\\",), 3: ("\\\\",), 4: ("srv://",), 5: (":\\", ":/"), 6: (".",), 9: ("_",), 10: ("_",), 11: ("<URL_PATH>",), 12: ("<DRIVE_PATH>",), 13: ("<UNC_PATH>",), 14: ("//<IP>/",), 15: ("/",), 16: ("_id",), 17: ("Output",), 18: ("device",), 19: ("port",), 20: ("LRTB:",), 21: ("Z-NF:",)}),
+    (FINGERPRINT, {1: ("similar",), 4: ("transferring file",), 5: ("loading '<?>",), 6: ("error while",), 7: ("decoding '",), 8: ("create_directories:",), 9: ("directory_iterator::",), 10: ("authenticating on",), 11: ("updating render",), 12: ("encoding frame",), 13: ("assertion '",), 14: ("loading module",), 15: ("invalid projection",), 16: ("automatically",), 17: ("display sync",), 18: (".",), 19: _ENDINGS, 20: _ENDINGS, 21: ("\\\\",), 22: (":\\", ":/"), 23: ("srv://",), 24: ("/",), 25: ("/",), 26: ("_",), 29: (":",)}),
+]
+NEEDED = {rules[k].pattern: parts for rules, by_place in _PARTS for k, parts in by_place.items()}
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """A pattern with Unicode classes, line feed as the only line end, and Unicode case folding if asked for."""
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
@@ -93,10 +103,28 @@ def java(pattern: str, ignore_case: bool = False) -> str:
 def apply_rules(text: Column, rules: list[Rule]) -> Column:
     """All substitutions in turn, as one nested expression."""
     for rule in rules:
-        text = F.regexp_replace(text, java(rule.pattern, rule.ignore_case), rule.replacement.replace("\\", "\\\\"))
+        replaced = lambda x, rule=rule: F.regexp_replace(x, java(rule.pattern, rule.ignore_case), rule.replacement.replace("\\", "\\\\"))
+        needs = NEEDED.get(rule.pattern)
+        text = _guarded(text, needs, rule.ignore_case, replaced) if needs else replaced(text)
     return text
 
 
+def _guarded(text: Column, needs: tuple[str, ...], ignore_case: bool, replaced: Callable[[Column], Column]) -> Column:
+    """``replaced`` for texts that hold one of the needed strings, others as they are; the text is evaluated once.
+
+    Letters beyond ASCII may fold to ASCII ones, so a text with any is not passed over where case is ignored.
+    """
+
+    def chosen(x: Column) -> Column:
+        searched = F.lower(x) if ignore_case else x
+        may = F.octet_length(x) != F.char_length(x) if ignore_case else F.lit(False)
+        for part in needs:
+            may = may | F.contains(searched, F.lit(part))
+        return F.when(may, replaced(x)).otherwise(x)
+
+    return F.get(F.transform(F.array(text), chosen), F.lit(0))
+
+
 def generalise(text: Column) -> Column:
     """Masks paths, addresses, ids and coordinates of a stored text."""
     return apply_rules(text, GENERALISE)

@@ -26,6 +26,12 @@ def token_map(rows: DataFrame, columns: list[str], order: str = "seq") -> DataFr
     return names.select("kind", "token", F.concat("prefix", rank.cast("string")).alias("alias"))
 
 
+def counts(rows: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many distinct names of each kind would be replaced."""
+    found = token_map(rows, columns).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return {f"anonymised_{k}": 0 for k in KINDS} | {f"anonymised_{r.kind}": r.n for r in found.collect()}
+
+
 def anonymise(rows: DataFrame, columns: list[str], key: str = "seq") -> DataFrame:
     """``rows`` with the names in ``columns`` replaced. ``key`` identifies and orders rows.
 

@@ -55,6 +55,15 @@ def _write(path: str, columns: list[str], values: Iterable[list]) -> int:
     return n
 
 
+def probe(paths: Iterable[str]) -> None:
+    """Raises unless files can be made where each path will be, before any work is done for them."""
+    for folder in {Path(p).parent for p in paths}:
+        folder.mkdir(parents=True, exist_ok=True)
+        handle, name = tempfile.mkstemp(dir=folder, suffix=".part")
+        os.close(handle)
+        os.unlink(name)
+
+
 def write_distributed(rows: DataFrame, path: str) -> None:
     """Many part files with the same quoting, for tables too large for one file."""
     rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -189,3 +189,82 @@ def test_stream(spark, tmp_path):
         q = start(spark.readStream.schema(schema).json(str(source)), str(tmp_path / "t"), str(tmp_path / "c"))
         q.awaitTermination(60)
     assert sorted(r["Type/Source"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["T1", "T2", "same"]
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1000, 1 << 20])
+def test_splits_do_not_matter(spark, tmp_path, split):
+    """Ranges of any size give the same lines in the same blocks' order, and the same records, whatever ends the lines."""
+    content = ("﻿" + ASSEMBLY * 3).replace("Gamma\n", "Gamma\r\n").replace("Beta\n", "Beta\r").encode() + b"\n\n2024-01-02 03:04:05.678 [ERROR] caf\xc3\xa9 \xff\n\n\tlast"
+    top = tree(tmp_path, {"a.log": content, "b.txt": b"", "c.log": b"\tgoes on\n    and on", "d.txt": "x\r\n\r\ny"})
+    rows = archive.read_logs(spark, [top], split=split)
+    plain = [(r.source_name, r.line) for r in archive.lines_of(rows).orderBy("seq").collect()]
+    text = content.decode("utf-8", "ignore").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    assert [x for n, x in plain if n == "a.log"] == text.split("\n")
+    assert [x for n, x in plain if n == "c.log"] == ["\tgoes on", "    and on"] and [x for n, x in plain if n == "d.txt"] == ["x", "", "y"]
+    records = dedup.dedup_structured(parse.parse_records(archive.lines_of(rows), scan.SCOPE)).orderBy("seq").collect()
+    assert [(r.type, r.description, r.n_rows) for r in records] == [("Mod.Alpha", "first detail\nsecond detail", 3), ("Mod.Gamma", "", 3), ("café", "", 1)]
+
+
+def test_uri_of_a_file_system(spark, tmp_path):
+    top = tree(tmp_path, {"d/a.log": E2.format("One"), "b.log": E2.format("Two")})
+    assert [r.logfile for r in kept(spark, f"file://{top}")[0]] == ["b.log", "d/a.log"]
+    from quarrylog.sources.archive import _listed, _opened
+
+    alone, found = _listed(top)
+    assert not alone and sorted(n for _, n, _ in found) == ["b.log", "d/a.log"]
+    with _opened(found[0][0]) as f:
+        assert f.read(4) == b"2024"
+
+
+def test_errors_of_the_same_scan(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("x.log", E2.format("M"))
+    top = tree(tmp_path, {"bad.zip": b"PK no archive", "good.log": E2.format("Good")})
+    said = []
+    result = scan.run(spark, scan.Options([top], stem=str(tmp_path / "out/r"), progress=said.append))
+    assert [e.source_name for e in result.errors.collect()] == ["bad.zip"]
+    assert said[0] == f"reading {top}" and "2 files read, 1 of them in archives" in said and any("bad.zip" in x for x in said)
+    assert [x for x in said if x.startswith("written")] == [f"written: {p}" for p in result.files.values()]
+
+
+def test_cancelled_run_writes_nothing(spark, tmp_path):
+    top = tree(tmp_path, {"a.log": E2.format("One")})
+    with pytest.raises(scan.Cancelled):
+        scan.run(spark, scan.Options([top], stem=str(tmp_path / "out/r"), cancelled=lambda: True))
+    asked = []
+    with pytest.raises(scan.Cancelled):  # while it runs
+        scan.run(spark, scan.Options([top], stem=str(tmp_path / "out/r"), cancelled=lambda: asked.append(1) or len(asked) > 1))
+    assert not list((tmp_path / "out").iterdir())
+    assert scan.run(spark, scan.Options([top], stem=str(tmp_path / "out/r"), cancelled=lambda: False)).counts["kept"] == 1
+
+
+def test_outputs_are_probed_first(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    top = tree(tmp_path / "in", {"a.log": E2.format("One")})
+    said = []
+    with pytest.raises(OSError):
+        scan.run(spark, scan.Options([top], stem=str(tmp_path / "file/r"), progress=said.append))
+    assert not said
+
+
+def test_anonymised_products(spark, tmp_path):
+    content = E2.format("peer \\\\srvA\\data lost") + "\tread from \\\\srvB\\data timed out\n" + E2.format("peer \\\\srvB\\more lost")
+    result = scan.run(spark, scan.Options([tree(tmp_path / "in", {"a.log": content})], stem=str(tmp_path / "out/r"), anonymise=True, distributed=True))
+    rows = tables.read_table(spark, result.files["detail"]).collect()
+    assert result.counts["detail_rows"] == len(rows) == 2
+    text = " ".join(r["Type/Source"] + r.Description for r in rows)
+    assert "srvA" not in text and "srvB" not in text
+    assert set(result.counts) >= {"anonymised_address", "anonymised_server", "anonymised_share"}
+
+
+def test_guards_change_nothing(spark):
+    """Rules applied with guards give what each rule in turn gives without, also where case folds from beyond ASCII."""
+    from quarrylog.functions import rules
+
+    texts = ["7x ſimilar to 'x'", "\u212amov a1.\u212akv b2.MKV", "ENCODING frame failed: ü", "Encoding Frame failed: x", "see 'd:/x/y' and \\\\s\\t\\u", "_20240101120000 a_id: 7 Output 3", None, "", "srv://10.0.0.1/s/f.mov port 77 LRTB: 1.0, 2 Z-NF: 3e+4"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for chosen in (rules.GENERALISE, rules.FINGERPRINT, rules.SHORTEN):
+        plain = F.col("t")
+        for r in chosen:
+            plain = F.regexp_replace(plain, rules.java(r.pattern, r.ignore_case), r.replacement.replace("\\", "\\\\"))
+        assert df.select(rules.apply_rules(F.col("t"), chosen).alias("x")).collect() == df.select(plain.alias("x")).collect()

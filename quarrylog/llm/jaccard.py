@@ -36,8 +36,9 @@ WORDS, NUM, DEN = 5, 80, 100
 #: Bits of the sketch of shingle counts, and of its parts as they travel.
 BITS, CHUNK = 22, 1 << 16
 _COUNTS = ("<u1", "<u2", "<u4", "<u8")
-#: Lists up to this length give all pairs at once. Rows of a list in one part, about, in the first round and later.
-SHORT, FIRST_PART, PART = 4, 500, 2000
+#: Lists up to this length give all pairs at once. Rows of a list in one part, about: where rows meet
+#: neighbours (the first rounds), and as many parts together where they meet whole parts (the last).
+SHORT, PART, TOGETHER = 4, 250, 8
 #: Leading bits of a cid that flags tell apart, at least and at most; about 16 flags for each cid between.
 _LEAST, _MOST = 16, 26
 #: Ranges of the suffix filter; rounds between the first and the last, and how far a row looks in them.
@@ -172,7 +173,7 @@ def _prefixes(docs: DataFrame, seed: int, sketch) -> DataFrame:
                 if tokens:
                     token, cid = np.concatenate(tokens), np.concatenate(cids)
                     expected = counts[(token >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)
-                    split = np.where(expected > usual + FIRST_PART, (expected - usual) // FIRST_PART + 1, 1)
+                    split = np.where(expected > usual + PART, (expected - usual) // PART + 1, 1)
                     salt = np.where(split > 1, (cid.view(np.uint64) % split.astype(np.uint64)).astype(np.int64), -1)
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cid), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(salt.astype(np.int32))], names=["token", "cid", "n", "pos", "salt"])
 
@@ -327,6 +328,7 @@ def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
         if left:
             yield _pairs_batch(np.concatenate(left), np.concatenate(right))
 
+    rows = rows.withColumn("parts", F.ceil(F.col("parts") / TOGETHER).cast("int"))
     own = rows.withColumn("salt", F.pmod("cid", F.col("parts").cast("long"))).withColumn("probe", F.lit(0))
     probes = rows.where("comp != major").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).withColumn("probe", F.lit(1))
     columns = ["token", "salt", "cid", "n", "pos", "comp", "probe", "ranges"]

@@ -209,7 +209,12 @@ def keep_languages(docs: DataFrame) -> DataFrame:
 
     und goes, and so does what hardly shares an n-gram with any language: a share below REJECT
     by more than one over the root of the text's length, so that a short text stays in doubt.
+    Where nothing could be learned (no text with a lang, say) only texts without a letter and
+    null ones go. An empty table stays empty; repeated rows stay or go together.
     """
-    found = predict(docs, learned(docs), ("_lid_lang", "_lid_score"))
+    filters = learned(docs)
+    if not filters.langs:
+        return docs.where(F.col("text").rlike(r"\pL"))
+    found = predict(docs, filters, ("_lid_lang", "_lid_score"))
     doubt = 1 / F.sqrt(F.length("text"))
     return found.where((F.col("_lid_lang") != "und") & (F.col("_lid_score") + doubt >= REJECT)).drop("_lid_lang", "_lid_score")

@@ -298,6 +298,12 @@ def test_language_odd(make, odd_rows):
     assert {r.lang_pred for r in language.identify(make([(1, "abc def"), (2, None)])).collect()} == {"und"}
 
 
+def test_keep_languages_where_nothing_is_learned(make):
+    docs = make([(1, "plain words"), (2, "12 34"), (3, None), (4, "\u0451"), (4, "\u0451"), (5, "")])
+    kept = language.keep_languages(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 4]
+
+
 def test_filters_have_all_and_correct_false_ones():
     r = np.random.default_rng(4)
     codes = np.unique(r.integers(0, 2**32, 150_000, dtype=np.uint64)).astype(np.uint32)

@@ -15,22 +15,39 @@ from quarrylog.llm.common import documents, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no learned language; columns stay."""
+    """Drops documents without a letter and those of no learned language; columns stay.
+
+    Null and empty texts go; short texts in doubt stay; repeated rows stay or go together; an
+    empty table stays empty. Where no language could be learned only texts without a letter go.
+    """
     return language.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component of links; columns stay."""
+    """Keeps the document of the smallest doc_id of each component of links; columns stay.
+
+    Documents without words are linked with nothing and all stay; rows repeated with one doc_id
+    and text count as one; an empty table stays empty.
+    """
     return jaccard.keep_one_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document none, one or two times; columns stay."""
+    """Takes each document none, one or two times; columns stay.
+
+    A null source is a source of its own, after all others. Texts without words, null ones
+    among them, have no mass and take no copies. Rows alike share their copies out in turn;
+    ties are settled by hashes of the rows, so reruns agree; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a sequence of at most 4096 tokens."""
+    """A row for each piece of a document in a sequence of at most 4096 tokens.
+
+    A null text is empty: its end token alone. Each row is packed by itself, repeated ones too;
+    an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 

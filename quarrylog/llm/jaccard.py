@@ -16,12 +16,14 @@ those with the next and with the smallest member. Once these links have made com
 another round links neighbours of different components, in another order for each list,
 and the last round gives the pairs that are still open, between members of
 different components, all of them: no link between components is lost. Lists are salted by
-their estimated length; a component that holds most of a list is not moved, only the
-others' rows go to each of its parts.
+their estimated length. In the last round a long list is cut into tiles, by the sizes of sets
+and by hashes: each takes a bounded number of the list's rows and of those outside the list's
+largest component, whose members need not meet.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +39,10 @@ WORDS, NUM, DEN = 5, 80, 100
 BITS, CHUNK = 22, 1 << 16
 _COUNTS = ("<u1", "<u2", "<u4", "<u8")
 #: Lists up to this length give all pairs at once. Rows of a list in one part, about: where rows meet
-#: neighbours (the first rounds), and as many parts together where they meet whole parts (the last).
-SHORT, PART, TOGETHER = 4, 250, 8
+#: neighbours (the first rounds), and on each side of a tile, where all meet all (the last).
+SHORT, PART, SIDE = 4, 250, 1000
+#: Growth of the sizes of sets from one band to the next, a little above what the length filter allows.
+BAND = 1.26
 #: Leading bits of a cid that flags tell apart, at least and at most; about 16 flags for each cid between.
 _LEAST, _MOST = 16, 26
 #: Ranges of the suffix filter; rounds between the first and the last, and how far a row looks in them.
@@ -262,13 +266,12 @@ def _first_round(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's parts and its largest component."""
+    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's length and its largest component."""
     labels = comps.select(F.col("node").alias("_v"), F.col("component").alias("_c"))
     rows = rows.join(labels, F.col("cid") == F.col("_v"), "left").withColumn("comp", F.coalesce("_c", "cid")).drop("_v", "_c")
     by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.sum("c").alias("total")).where("k > 1")
-    parts = F.ceil(F.col("total") / PART).cast("int")
-    return rows.join(by.select(F.col("token").alias("_t"), "major", parts.alias("parts")), F.col("token") == F.col("_t")).drop("_t")
+    return rows.join(by.select(F.col("token").alias("_t"), "major", "total"), F.col("token") == F.col("_t")).drop("_t")
 
 
 def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:
@@ -292,28 +295,58 @@ def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:
         if left:
             yield _pairs_batch(np.concatenate(left), np.concatenate(right))
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(step)), F.col("parts").cast("long")))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(step)), F.ceil(F.col("total") / PART)))
     return salted.select("token", "salt", "cid", "n", "pos", "comp", "ranges").repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
 
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Adds ``copies``: the tiles (salt) of its list that a row goes to, and its role there.
+
+    A list of up to SIDE rows is one tile, where each row is its own (role 0) and, outside the
+    largest component, a probe as well (role 1). The rows of a longer list fall into bands of set
+    size, so that links lie in one band or in two next to each other, and those of a band into
+    parts of about SIDE rows. A tile takes one part's own rows (role 0) and one part of the probes
+    (role 2) of a band that may hold links of theirs: no task gets more of a list, however long.
+    """
+    minor = F.col("comp") != F.col("major")
+    short = F.array(F.struct(F.lit(0).cast("long").alias("salt"), F.when(minor, 1).otherwise(0).alias("role")))
+    banded = rows.where(F.col("total") > SIDE).withColumn("band", F.floor(F.log("n") / math.log(BAND)))
+    sizes = banded.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("own"), F.ceil(F.count_if(minor) / SIDE).alias("probes"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_b")
+    # At most three bands for each row, of as many parts as a list's length asks for.
+    around = sizes.select(F.col("token").alias("_t"), near, F.struct("band", "own", "probes").alias("s")).groupBy("_t", "_b").agg(F.collect_list("s").alias("around"))
+    banded = banded.join(around, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b"))).drop("_t", "_b")
+    at_home = lambda kind: F.filter("around", lambda s: s["band"] == F.col("band"))[0][kind]
+    i, j = F.pmod(F.xxhash64("cid"), at_home("own")), F.pmod(F.xxhash64("cid", F.lit(1)), F.greatest(at_home("probes"), F.lit(1)))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    tile = lambda *place, role: F.struct(F.xxhash64(*place).alias("salt"), F.lit(role).alias("role"))
+    own = F.flatten(F.transform(F.filter("around", lambda s: s["probes"] > 0), lambda s: F.transform(count(s["probes"]), lambda k: tile(F.col("band"), i, s["band"], k, role=0))))
+    probe = F.flatten(F.transform("around", lambda s: F.transform(count(s["own"]), lambda k: tile(s["band"], k, F.col("band"), j, role=2))))
+    long = F.when(minor, F.concat(own, probe)).otherwise(own)
+    columns = ["token", "cid", "n", "pos", "comp", minor.alias("minor")]
+    return rows.where(F.col("total") <= SIDE).select(*columns, short.alias("copies")).union(banded.select(*columns, long.alias("copies")).where(F.size("copies") > 0))
+
+
 def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
-    """All pairs of different components that may be links. Rows outside a list's largest component meet every part of the list."""
+    """All pairs of different components that may be links, by the tiles of ``_tiles``; pairs within a list's largest component are none."""
 
     def run(batches: Iterator) -> Iterator:
-        token, salt, cid, n, pos, comp, probe, ranges = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp", "probe", "ranges"))
-        order = np.lexsort((probe, salt, token))
-        token, salt, cid, n, pos, comp, probe, ranges = (x[order] for x in (token, salt, cid, n, pos, comp, probe, ranges))
+        token, salt, cid, n, pos, comp, minor, role, ranges = _columns(batches, ("token", "salt", "cid", "n", "pos", "comp", "minor", "role", "ranges"))
+        order = np.lexsort((role, salt, token))
+        token, salt, cid, n, pos, comp, minor, role, ranges = (x[order] for x in (token, salt, cid, n, pos, comp, minor, role, ranges))
         if not len(token):
             return
         begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
         ends = np.concatenate([begins[1:], [len(token)]])
         left, right, held = [], [], 0
         for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
-            m = a + int(np.searchsorted(probe[a:z], 1))  # the list's own rows come first
+            first, m = a + int(np.searchsorted(role[a:z], 1)), a + int(np.searchsorted(role[a:z], 2))
             own = slice(a, m)
-            for lo in range(m, z if m > a else m, 64):
+            for lo in range(first, z if m > a else first, 64):
                 q = np.arange(lo, min(z, lo + 64))
-                ok = may_link(n[q, None], pos[q, None], n[None, own], pos[None, own]) & (comp[q, None] != comp[None, own])
+                # Two rows outside the largest component meet twice: once is enough.
+                once = (minor[own] == 0)[None] | (cid[q, None] > cid[None, own])
+                ok = may_link(n[q, None], pos[q, None], n[None, own], pos[None, own]) & (comp[q, None] != comp[None, own]) & once
                 x, y = np.nonzero(ok)
                 x, y = q[x], a + y
                 for k in range(0, len(x), 1 << 15):
@@ -328,11 +361,9 @@ def _last_round(rows: DataFrame, partitions: int) -> DataFrame:
         if left:
             yield _pairs_batch(np.concatenate(left), np.concatenate(right))
 
-    rows = rows.withColumn("parts", F.ceil(F.col("parts") / TOGETHER).cast("int"))
-    own = rows.withColumn("salt", F.pmod("cid", F.col("parts").cast("long"))).withColumn("probe", F.lit(0))
-    probes = rows.where("comp != major").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).withColumn("probe", F.lit(1))
-    columns = ["token", "salt", "cid", "n", "pos", "comp", "probe", "ranges"]
-    return own.select(*columns).union(probes.select(*columns)).repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
+    dealt = rows.withColumn("copy", F.explode("copies"))
+    dealt = dealt.select("token", "copy.salt", "cid", "n", "pos", "comp", F.col("minor").cast("int").alias("minor"), "copy.role", "ranges")
+    return dealt.repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
 
 
 def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -470,11 +501,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         count = open_.count()
         if not count:
             break
+        last = step > ROUNDS
+        if last:
+            open_ = materialize(_tiles(open_), "jaccard-tiles")
+            count = open_.agg(F.sum(F.size("copies"))).first()[0] or 0
         partitions = _partitions(spark, count, 1 << 17)
         if sets is None:  # once, for all that may still link
             sets = materialize(_sets(docs, seed, Presence(open_.select("cid"), count)), "jaccard-sets")
         full = open_.join(ranges, F.col("cid") == F.col("_x")).drop("_x")  # the wide rows travel once a round
-        pairs = _next_round(full, partitions, step) if step <= ROUNDS else _last_round(full, partitions)
+        pairs = _last_round(full, partitions) if last else _next_round(full, partitions, step)
         pairs = materialize(pairs.select("a", "b").distinct(), f"jaccard-{step}-pairs")
         comps = merge_components(comps, _verify(pairs, _asked(sets, pairs), f"jaccard-{step}"))
         lists = open_.select("token", "cid", "n", "pos")

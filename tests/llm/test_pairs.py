@@ -127,9 +127,10 @@ def test_jaccard_odd(make, odd_rows):
     assert [r.doc_id for r in rows if r.doc_id in (1, 2)] == [1] and sum(not sets_of(r.text) for r in rows) == sum(not sets_of(t) for _, t, *_ in odd_rows)
 
 
-def test_jaccard_hot_group(make, monkeypatch):
-    """Many near copies around the threshold, with split lists and several components in each."""
-    for name, value in (("SHORT", 2), ("PART", 16), ("ROUNDS", 1), ("REACH", 1)):
+@pytest.mark.parametrize("side", [4, 20, 1000])
+def test_jaccard_hot_group(make, monkeypatch, side):
+    """Many near copies around the threshold, of several sizes, with split lists and several components in each."""
+    for name, value in (("SHORT", 2), ("PART", 16), ("SIDE", side), ("ROUNDS", 1), ("REACH", 1)):
         monkeypatch.setattr(jaccard, name, value)
     r = random.Random(6)
     base = [f"w{k}" for k in range(70)]
@@ -140,9 +141,28 @@ def test_jaccard_hot_group(make, monkeypatch):
             w[r.randrange(70)] = f"x{r.randrange(10**6)}"
         rows.append((k, " ".join(w)))
     rows += [(200 + k, " ".join(f"y{r.randrange(50)}" for _ in range(30)) + " " + " ".join(base[:52])) for k in range(30)]
+    rows += [(300 + k, " ".join(base[: 70 - k % 50] + [f"z{k * 100 + j}" for j in range(r.choice([0, 3, 9]))])) for k in range(60)]
     assert got(jaccard.jaccard_components(make(rows))) == brute_components(rows)
 
 
+def test_jaccard_tiles(spark, monkeypatch):
+    """Every pair that the length filter lets pass, with a row outside the largest component, meets in a tile of bounded size; others need not."""
+    monkeypatch.setattr(jaccard, "SIDE", 50)
+    r = random.Random(8)
+    rows = [(t, k, r.randint(1, 4000), 1, -1 if r.random() < 0.7 else k, -1, size) for t, size in ((1, 900), (2, 40)) for k in range(size)]
+    tiles = {}
+    for x in jaccard._tiles(spark.createDataFrame(rows, "token long, cid long, n long, pos long, comp long, major long, total long")).collect():
+        assert x.minor == (x.comp != -1)
+        for c in x.copies:
+            tiles.setdefault((x.token, c.salt), []).append((x.cid, c.role))
+    met = {(t, a, b) for (t, _), members in tiles.items() for a, i in members if i < 2 for b, j in members if j}
+    assert max(map(len, tiles.values())) <= 4 * 50 and len(met) < 0.5 * 900 * 900
+    for t, a, n, _, _, _, _ in rows:
+        for u, b, m, _, comp, _, _ in rows:
+            if t == u and a != b and comp != -1 and 100 * n >= 80 * m and 100 * m >= 80 * n:
+                assert (t, a, b) in met
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(7, 7), (5000, 4000)]
     rows = components.connected_components(spark.createDataFrame(path, "a long, b long")).collect()

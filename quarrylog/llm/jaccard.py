@@ -266,12 +266,18 @@ def _first_round(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's length and its largest component."""
+    """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's length and its largest component.
+
+    What is known of the lists is written first: Spark broadcasts it while it is small, and can
+    split a hot list's rows in the join beyond.
+    """
     labels = comps.select(F.col("node").alias("_v"), F.col("component").alias("_c"))
     rows = rows.join(labels, F.col("cid") == F.col("_v"), "left").withColumn("comp", F.coalesce("_c", "cid")).drop("_v", "_c")
+    rows = materialize(rows, "jaccard-labelled")
     by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.sum("c").alias("total")).where("k > 1")
-    return rows.join(by.select(F.col("token").alias("_t"), "major", "total"), F.col("token") == F.col("_t")).drop("_t")
+    by = materialize(by.select(F.col("token").alias("_t"), "major", "total"), "jaccard-by-list")
+    return rows.join(by, F.col("token") == F.col("_t")).drop("_t")
 
 
 def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:

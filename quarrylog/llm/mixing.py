@@ -22,6 +22,8 @@ from .common import WORD, materialize
 
 #: Documents in a block of the reduction tree, about.
 BLOCK = 64
+#: Rows alike that come from one array, at most.
+RUN = 1 << 16
 WEIGHTS = (5.0, 2.0, 1.0)
 _UNIT = "array<struct<i:int,up:int>>"
 
@@ -136,8 +138,9 @@ def mix_sizes(items: DataFrame, **options) -> DataFrame:
     Reruns agree, as all chance comes from hashes of the rows.
     """
     plan = plan_mix(items, **options)
-    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_r")
-    plan = plan.select("*", row)
+    # Rows alike are told apart in two steps, so that no array grows with their number.
+    plan = plan.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    plan = plan.withColumn("_r", F.explode(F.sequence(F.col("_q") * RUN, F.least(F.col("n"), (F.col("_q") + 1) * RUN) - 1)))
     copies = F.floor(F.col("total") / F.col("n")) + (F.col("_r") < F.col("total") % F.col("n")).cast("long")
     return plan.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 

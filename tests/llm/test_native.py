@@ -75,6 +75,17 @@ def test_mix_odd(make, odd_rows):
     assert all(r.taken == 0 for r in mixing.mix_sizes(make([(1, ""), (2, None)]).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect())
 
 
+def test_mix_rows_alike(spark, monkeypatch):
+    """Each repeated row comes back, and together they take what their unit takes, whatever the arrays' length."""
+    monkeypatch.setattr(mixing, "RUN", 4)
+    items = spark.range(61).select(F.when(F.col("id") < 41, 1).otherwise(F.when(F.col("id") < 57, 2).otherwise(F.col("id"))).cast("long").alias("doc_id"), F.lit("one").alias("source"), F.lit(10).cast("long").alias("size"))
+    rows = mixing.mix_sizes(items).collect()
+    assert sorted(r.doc_id for r in rows) == [1] * 41 + [2] * 16 + [57, 58, 59, 60]
+    check_mix(rows)
+    taken = [r.copies for r in rows if r.doc_id == 1]
+    assert set(taken) <= {1, 2} and abs(sum(taken) - 1.5 * 41) <= 1
+
+
 def test_mix_keeps_expectations(spark):
     """Over many sources of equal documents, about the asked-for share of documents is taken."""
     items = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit(10).cast("long").alias("size"))

@@ -25,6 +25,8 @@ from .common import column_bytes, crc32_of_id, slices
 
 N, LEAST, SHARE = 4, 1e-5, 0.5
 SLOTS, HASHES = 1 << 20, 3
+#: Bytes of text that are taken at once: an n-gram takes some 60 times its letter's room in between.
+SLICE = 1 << 19
 #: Documents with a smaller share of known n-grams than this, beyond doubt, are no language at all.
 REJECT = 0.1
 
@@ -83,7 +85,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             found.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 code, n = grams(part["text"])
                 label = np.array(part["lang"].to_pylist(), dtype=object)
                 row = np.repeat(np.arange(len(n)), n)
@@ -91,7 +93,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     parts = found.setdefault(lang, [])
                     parts.append(np.unique(code[(label == lang)[row]], return_counts=True))
                     held += len(parts[-1][0])
-                    if len(parts) > 8:
+                    if len(parts) > 8 and sum(len(c) for c, _ in parts[1:]) > len(parts[0][0]):
                         held -= sum(len(c) for c, _ in parts)
                         found[lang] = [merged(parts)]
                         held += len(found[lang][0][0])
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_p
         model = shared.value
         langs = np.array(model.langs, dtype=object)
         for batch in batches:
-            for part in slices(batch, f"_c{text_at}"):
+            for part in slices(batch, f"_c{text_at}", SLICE):
                 text = part[f"_c{text_at}"]
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\pL"), False))
                 if len(langs):

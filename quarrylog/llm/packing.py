@@ -38,10 +38,12 @@ class WordEncoder:
 
     The tokenizer splits at white space, drops it, and looks at nothing beyond it; so a text's
     ids are those of its words in turn. Words' ids stay in a direct-mapped cache by hash
-    (bounded: a new word takes the place of another), and only new words reach the tokenizer.
+    (bounded: a new word takes the place of another), and only new words reach the tokenizer,
+    ``AT_ONCE`` of them in a call, since what it returns takes far more room than their ids.
+    A worker keeps the cache from task to task, so it is small beside an executor's memory.
     """
 
-    SLOTS, MOST_IDS = 1 << 21, 1 << 24
+    SLOTS, MOST_IDS, AT_ONCE = 1 << 21, 1 << 23, 1 << 12
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,17 +58,22 @@ class WordEncoder:
         self.size = np.zeros(self.SLOTS, dtype=np.int32)
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the number of ids of each."""
+        sizes, out = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.uint32)]
+        for k in range(0, len(words), self.AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + self.AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)))
+            out.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
+        return np.concatenate(out), np.concatenate(sizes)
 
     def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._encode([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        ids, size = self._encode([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         at = self.used + np.cumsum(size, dtype=np.int64) - size
         end = self.used + int(size.sum())
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end, 2 * len(self.ids)) - len(self.ids), dtype=np.uint32)])
-        self.ids[self.used : end] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=end - self.used)
+        self.ids[self.used : end] = ids
         self.used = end
         slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         short = ends - starts <= 64  # long words are rarely met again

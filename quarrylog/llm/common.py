@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, TAB, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns what was written.
 
-    It cuts the lineage at a point that survives the loss of executors. The files go when
-    the session's JVM ends.
+    It cuts the lineage at a point that survives the loss of executors. The shuffles of the
+    write go with its end, since nothing reads them again, and do not wait for the driver's
+    garbage collection. The files go by ``discard``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of what ``materialize`` returned; nothing that is still to run may read them."""
+    for df in written:
+        place, files = _place(df.sparkSession, df._written)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
 
 
 def crc32_of_id(doc_id: Column) -> Column:

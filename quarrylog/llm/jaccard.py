@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_words, column_bytes, find_words, materialize, mix64, slices
+from .common import WORD, discard, hash_words, column_bytes, find_words, materialize, mix64, slices
 from .components import merge_components
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -265,7 +265,7 @@ def _first_round(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "token", "salt").mapInArrow(run, _PAIRS)
 
 
-def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_lists(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     """Rows (token, cid, n, pos, comp) of lists that hold more than one component, with the list's length and its largest component.
 
     What is known of the lists is written first: Spark broadcasts it while it is small, and can
@@ -277,7 +277,9 @@ def _open_lists(rows: DataFrame, comps: DataFrame) -> DataFrame:
     by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.sum("c").alias("total")).where("k > 1")
     by = materialize(by.select(F.col("token").alias("_t"), "major", "total"), "jaccard-by-list")
-    return rows.join(by, F.col("token") == F.col("_t")).drop("_t")
+    out = materialize(rows.join(by, F.col("token") == F.col("_t")).drop("_t"), name)
+    discard(rows, by)
+    return out
 
 
 def _next_round(rows: DataFrame, partitions: int, step: int) -> DataFrame:
@@ -502,14 +504,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = _verify(pairs, _sets(docs, seed, Presence(_ends(pairs), 2 * pairs.count())), "jaccard-first")
     ranges = classes.select(F.col("cid").alias("_x"), "ranges")
     comps, sets = merge_components(None, links), None
+    discard(pairs)
+    before = first  # where the lists are kept
     for step in range(1, ROUNDS + 2):
-        open_ = materialize(_open_lists(lists, comps), f"jaccard-{step}-lists")
+        open_ = _open_lists(lists, comps, f"jaccard-{step}-lists")
+        discard(before)
         count = open_.count()
         if not count:
             break
         last = step > ROUNDS
         if last:
-            open_ = materialize(_tiles(open_), "jaccard-tiles")
+            before, open_ = open_, materialize(_tiles(open_), "jaccard-tiles")
+            discard(before)
             count = open_.agg(F.sum(F.size("copies"))).first()[0] or 0
         partitions = _partitions(spark, count, 1 << 17)
         if sets is None:  # once, for all that may still link
@@ -518,7 +524,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pairs = _last_round(full, partitions) if last else _next_round(full, partitions, step)
         pairs = materialize(pairs.select("a", "b").distinct(), f"jaccard-{step}-pairs")
         comps = merge_components(comps, _verify(pairs, _asked(sets, pairs), f"jaccard-{step}"))
-        lists = open_.select("token", "cid", "n", "pos")
+        discard(pairs)
+        before, lists = open_, open_.select("token", "cid", "n", "pos")
     comps = comps.select(F.col("node").alias("_v"), "component")
     labelled = classes.join(comps, F.col("cid") == F.col("_v"), "left").select("cid", "least", F.coalesce("component", "cid").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("least").alias("component_id")).withColumnRenamed("comp", "_k")
